@@ -1,7 +1,5 @@
 """One query per operator over the given tables."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import formats, html, names, options
@@ -18,7 +16,7 @@ from ..plans.batch import convert_batch
 from ..plans.requests import convert_requests
 from ..plans.sink import run_batch, saved_markdown, write_markdown
 from ..plans.sizing import spread_small
-from ..session import shared_folder
+from ..session import new_shared_path
 from ..sources.files import filter_supported, scan_folder
 from ..sources.requests import scan_requests
 from ..streaming.inbox import inbox_results, stream_documents
@@ -27,10 +25,6 @@ from . import inputs
 PAGE_OPTIONS = {"mode": "folder", "base_dir": "/out", "options": {"engine": "html"}}
 
 
-def _new_folder(spark):
-    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-
-
 def _long(*columns):
     return [F.col(c).cast("long").alias(c) for c in columns]
 
@@ -236,13 +230,13 @@ def q_resolve_collisions(spark, sf_dir):
 
 
 def q_write_markdown(spark, sf_dir):
-    location = _new_folder(spark)
+    location = new_shared_path(spark)
     write_markdown(convert_batch(inputs.pages(spark, sf_dir), **PAGE_OPTIONS), location)
     return spark.read.parquet(location)
 
 
 def q_run_batch(spark, sf_dir):
-    location = _new_folder(spark)
+    location = new_shared_path(spark)
     run_batch(inputs.pages(spark, sf_dir), location, **PAGE_OPTIONS)
     return saved_markdown(spark, location)
 
@@ -305,7 +299,7 @@ def q_stream_inbox(spark, sf_dir):
             F.col("html").alias("text"),
         )
     )
-    location = _new_folder(spark)
+    location = new_shared_path(spark)
     stream_documents(stream, f"{location}/out", f"{location}/state", **PAGE_OPTIONS).awaitTermination()
     return inbox_results(spark, f"{location}/out").select(
         "file", "status", "engine", "output_path", "fallback", "markdown", "n_same_path", "survives"

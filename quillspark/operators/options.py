@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.options import normalize_backend, normalize_effort, normalize_lang, normalize_method
-from ..schema import REQUEST_DEFAULTS
+from ..schema import REQUEST_DEFAULTS, REQUEST_SCHEMA
 from ..sources.requests import complete_requests
 
 _NORMALIZED = {
@@ -46,40 +46,49 @@ def resolve_options(df: DataFrame) -> DataFrame:
     )
 
 
-def request_errors(engines):
+def request_errors(engines, fields=REQUEST_SCHEMA.names):
     """The array of reasons a request is refused; empty when it is fine.
 
     A field and its override are both looked at: a bad value is refused even
-    where an override would replace it.
+    where an override would replace it. ``fields`` are the request fields that
+    can hold anything; the others are left at their defaults and need no rule.
     """
+    overrides = "extra" in fields
     reasons = [F.when(F.coalesce("file_path", F.lit("")) == "", "file_path is required")]
     for name, normalize in _NORMALIZED.items():
-        reasons += [normalize(F.col(name))["error"], normalize(_override(name))["error"]]
-    for name in ("formula_enable", "table_enable"):
-        given = _override(name)
-        bad = given.isNotNull() & given.try_cast("boolean").isNull()
-        reasons.append(F.when(bad, f"{name} is not a boolean"))
-    for name in ("start_page", "end_page"):
-        given = _override(name)
-        bad = given.isNotNull() & given.try_cast("int").isNull()
-        reasons.append(F.when(bad, f"{name} is not a whole number"))
-    start, end = _effective("start_page", "int"), _effective("end_page", "int")
-    backend = normalize_backend(_effective("backend"))["value"]
-    engine = F.lower(F.coalesce("engine", F.lit("")))
-    reasons += [
-        F.when(start < 0, "start_page must be >= 0"),
-        F.when(end < 0, "end_page must be >= 0"),
-        F.when(end < start, "end_page must be >= start_page"),
-        F.when(
-            F.endswith(backend, F.lit("-http-client"))
-            & (F.coalesce(_effective("server_url"), F.lit("")) == ""),
-            F.concat(
-                F.lit("Backend '"), backend,
-                F.lit("' requires a remote server; pass server_url in the request"),
-            ),
-        ),
-        F.when(~engine.isin("", "auto", *engines), F.concat(F.lit("Unknown engine: "), engine)),
-    ]
+        if name in fields:
+            reasons.append(normalize(F.col(name))["error"])
+        if overrides:
+            reasons.append(normalize(_override(name))["error"])
+    if overrides:
+        typed = {
+            "formula_enable": ("boolean", "boolean"),
+            "table_enable": ("boolean", "boolean"),
+            "start_page": ("int", "whole number"),
+            "end_page": ("int", "whole number"),
+        }
+        for name, (type_name, called) in typed.items():
+            given = _override(name)
+            bad = given.isNotNull() & given.try_cast(type_name).isNull()
+            reasons.append(F.when(bad, f"{name} is not a {called}"))
+    if overrides or "start_page" in fields or "end_page" in fields:
+        start, end = _effective("start_page", "int"), _effective("end_page", "int")
+        reasons += [
+            F.when(start < 0, "start_page must be >= 0"),
+            F.when(end < 0, "end_page must be >= 0"),
+            F.when(end < start, "end_page must be >= start_page"),
+        ]
+    if overrides or "backend" in fields:
+        backend = normalize_backend(_effective("backend"))["value"]
+        unserved = F.endswith(backend, F.lit("-http-client")) & (
+            F.coalesce(_effective("server_url"), F.lit("")) == ""
+        )
+        demand = "' requires a remote server; pass server_url in the request"
+        reasons.append(F.when(unserved, F.concat(F.lit("Backend '"), backend, F.lit(demand))))
+    if "engine" in fields:
+        engine = F.lower(F.coalesce("engine", F.lit("")))
+        unknown = ~engine.isin("", "auto", *engines)
+        reasons.append(F.when(unknown, F.concat(F.lit("Unknown engine: "), engine)))
     return F.array_distinct(F.array_compact(F.array(*reasons)))
 
 

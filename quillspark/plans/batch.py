@@ -11,7 +11,7 @@ from ..operators.fallback import fallback_conversion, no_errors, single_conversi
 from ..operators.options import request_errors
 from ..operators.registry import DEFAULT_REGISTRY
 from ..operators.routing import route_engine
-from ..schema import RESULT_COLUMNS
+from ..schema import REQUEST_SCHEMA, RESULT_COLUMNS
 from ..sources.requests import complete_requests
 
 
@@ -98,6 +98,8 @@ def convert_batch(
     names = registry.list_converters()
     if default_engine != "auto" and default_engine.lower() not in names:
         raise ValueError(f"Unknown engine: {default_engine}")
+    given = set(df.columns) | set(options or {})
+    fields = [name for name in REQUEST_SCHEMA.names if name in given]
     docs = complete_requests(_with_text(df).withColumn("file_path", F.col("file")), options)
     parts = file_parts(F.col("name" if "name" in df.columns else "file"))
     docs = docs.select(
@@ -107,13 +109,17 @@ def convert_batch(
         "output_dir",
         parts["ext"].alias("ext"),
         safe_name(parts["stem"]).alias("_stem"),
-        request_errors(names).alias("_reasons"),
+        request_errors(names, fields).alias("_reasons"),
         route_engine(F.col("engine"), default_engine, registry.engine_of(parts["ext"])).alias(
             "_engine"
         ),
     )
-    built_in = [c for c in registry.converters() if c.columns]
-    plugged = [c for c in registry.converters() if c.frame]
+    eligible = registry.converters()
+    named = (options or {}).get("engine") if "engine" not in df.columns else None
+    if named and named.lower() != "auto":
+        eligible = [c for c in eligible if c.name == named.lower()]
+    built_in = [c for c in eligible if c.columns]
+    plugged = [c for c in eligible if c.frame]
     runnable = F.col("_engine").isin([c.name for c in built_in + plugged])
     docs = docs.withColumn(
         "_refused",

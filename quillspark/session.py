@@ -1,8 +1,9 @@
 """Session settings and the shared scratch folder."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -41,3 +42,19 @@ def shared_folder(spark):
     if spark.sparkContext.master.startswith("local"):
         return tempfile.mkdtemp(prefix="run-", dir="/tmp")
     raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+
+
+def new_shared_path(spark) -> str:
+    """A path of its own below the shared folder."""
+    return f"{shared_folder(spark)}/quillspark-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute once: write to the shared folder and read back.
+
+    For a small result of a large scan that is needed more than once. The table
+    outlives any executor, so nothing upstream is run again.
+    """
+    location = new_shared_path(df.sparkSession)
+    df.write.parquet(location)
+    return df.sparkSession.read.schema(df.schema).parquet(location)

@@ -6,20 +6,23 @@ from pyspark.sql import functions as F
 from ..schema import REQUEST_DEFAULTS, REQUEST_SCHEMA
 
 
+def _constant(value, data_type):
+    if isinstance(value, dict):
+        return F.create_map(*[F.lit(x) for pair in value.items() for x in pair]).cast(data_type)
+    return F.lit(value).cast(data_type)
+
+
 def complete_requests(df: DataFrame, values=None) -> DataFrame:
     """Add the request fields a table lacks, from ``values`` or as nulls."""
     given = values or {}
     unknown = set(given) - set(REQUEST_SCHEMA.names)
     if unknown:
         raise ValueError(f"Unknown request fields: {', '.join(sorted(unknown))}")
+    present = df.columns
     missing = {
-        field.name: (
-            F.create_map(*[F.lit(x) for kv in given[field.name].items() for x in kv])
-            if isinstance(given.get(field.name), dict)
-            else F.lit(given.get(field.name))
-        ).cast(field.dataType)
+        field.name: _constant(given.get(field.name), field.dataType)
         for field in REQUEST_SCHEMA
-        if field.name not in df.columns
+        if field.name not in present
     }
     return df.withColumns(missing) if missing else df
 
