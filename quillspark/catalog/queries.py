@@ -242,7 +242,7 @@ def q_run_batch(spark, sf_dir):
 
 
 def q_batch_summary(spark, sf_dir):
-    return batch_summary(_mixed(spark, sf_dir))
+    return batch_summary(_mixed(spark, sf_dir, collisions=False))
 
 
 def _batch_rows(results):

@@ -55,13 +55,33 @@ def json_columns(text: Column):
     return text, error
 
 
+# Java patterns: what may stand around the root element, its end tag with what
+# follows, and a document that is one empty element. Possessive and atomic
+# groups never back up, so each is linear in the text.
+_XML_MISC = r"(?:\s++|(?><!--.*?-->)|(?><\?.*?\?>))*+"
+_XML_END = rf"(?s)</[^<>]+>({_XML_MISC})\z"
+_XML_EMPTY = (
+    rf"(?s)\A{_XML_MISC}(?:<!DOCTYPE[^<>\[]*+>)?{_XML_MISC}"
+    rf"""<[^\s<>!?/]++(?:[^<>"'/]++|"[^"<]*+"|'[^'<]*+'|/(?!>))*+/>{_XML_MISC}\z"""
+)
+
+
+def _xml_flaw(text: Column) -> Column:
+    """Null when the text starts with a complete element."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    return F.from_xml(text, "_bad string", options)["_bad"]
+
+
 def xml_columns(text: Column):
-    """XML text is kept as it is when it is well-formed."""
-    parsed = F.from_xml(
-        text, "_bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
-    )
+    """XML text is kept as it is when it is one well-formed document.
+
+    The parser stops at the end of the first element. That this is the whole
+    document shows when the text without its last end tag no longer parses.
+    """
+    rest = F.regexp_replace(text, _XML_END, "$1")
+    whole = text.rlike(_XML_EMPTY) | (text.rlike(_XML_END) & _xml_flaw(rest).isNotNull())
     error = F.when(text.isNull(), "xml error: no text").when(
-        parsed.isNull() | parsed["_bad"].isNotNull(), "xml error: not well-formed"
+        _xml_flaw(text).isNotNull() | ~whole, "xml error: not well-formed"
     )
     return text, error
 

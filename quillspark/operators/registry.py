@@ -14,10 +14,11 @@ class Converter:
     """One converter.
 
     ``columns`` maps a text column to the pair ``(markdown, error)`` and runs
-    inside the single pass over a batch. ``frame`` maps a DataFrame to the same
-    rows plus ``markdown`` and ``error`` columns and may use ``mapInPandas`` or a
-    Pandas UDF; its rows take a branch of their own. With neither, the name only
-    claims its extensions. ``accepts`` is a cheap test of the input and
+    inside the single pass over a batch. ``frame`` maps a DataFrame (``file``,
+    ``text``, ``content`` where the source has it, and columns to pass through) to
+    the same rows plus ``markdown`` and ``error``, and may use ``mapInPandas`` or a
+    Pandas UDF; its rows take a branch, so one more scan, of their own. With
+    neither, the name only claims its extensions. ``accepts`` is a cheap test of the input and
     ``secondary`` the ``(name, columns)`` tried when it fails.
     """
 

@@ -105,6 +105,7 @@ def convert_batch(
     docs = docs.select(
         "file",
         "text",
+        *[c for c in ("content",) if c in df.columns],
         "_unreadable",
         "output_dir",
         parts["ext"].alias("ext"),
@@ -133,11 +134,8 @@ def convert_batch(
         )
         .otherwise(no_errors()),
     )
-    to_plugged = (
-        F.col("_engine").isin([c.name for c in plugged])
-        & (F.size("_refused") == 0)
-        & F.col("_unreadable").isNull()
-    )
+    # A registered converter gets the raw content too, UTF-8 or not.
+    to_plugged = F.col("_engine").isin([c.name for c in plugged]) & (F.size("_refused") == 0)
     columns = ["file", "output_dir", "_stem", "_refused", "errors", "engine", "fallback", "markdown"]
     rest = docs.filter(~F.coalesce(to_plugged, F.lit(False))) if plugged else docs
     done = _convert_columns(rest, built_in).select(*columns)
