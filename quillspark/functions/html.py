@@ -13,10 +13,14 @@ from .result import converted
 _BLANKS = " \t\r\f"
 _REST = r"(?:[ \t\r\n\f/][^>]*)?"
 
-# Comments, scripts and styles; also "<1>", "<l>" and the like, which are no
-# HTML tags, so that the heading and list marks below cannot be mistaken.
+# Comments, scripts and styles; one left open runs to the end of the page, as it
+# does in a browser. Also "<h>" and "<hl>", which are no HTML tags, so that the
+# marks set below cannot be mistaken.
 _INVISIBLE = (
-    r"(?is)<(?:!--.*?--|script[^>]*>.*?</script|style[^>]*>.*?</style|[1-6lL]?)>"
+    r"(?is)<!--.*?(?:-->|\z)"
+    rf"|<script{_REST}>.*?(?:</script>|\z)"
+    rf"|<style{_REST}>.*?(?:</style>|\z)"
+    r"|<hl?>"
 )
 _HEAD = rf"(?is)<head{_REST}>.*?</head>"
 _LINK = r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
@@ -26,7 +30,8 @@ _BLOCK = (
     rf"|blockquote|pre|table|tr){_REST}|/h[1-6]{_REST})>"
 )
 _LINE_START = rf"(?i)<(?:h([1-6])|(l)i|br){_REST}>"
-_TAG = r"<[^>]*>"
+# "a < b" is no tag: a tag starts with a letter, "/", "!" or "?".
+_TAG = r"<[a-zA-Z/!?][^>]*>"
 
 # Entities replaced; the ampersand comes last, so that "&amp;lt;"
 # ends as "&lt;".
@@ -68,11 +73,11 @@ def html_body_to_markdown(text: Column) -> Column:
     text = F.regexp_replace(text, _LINK, "[$2]($1)")
     text = F.regexp_replace(text, _BOLD, "**$1**")
     text = F.regexp_replace(text, _BLOCK, "\n\n")
-    # A heading leaves "<level>", a list item "<l>", a line break "<>".
-    text = F.regexp_replace(text, _LINE_START, "\n<$1$2>")
+    # A heading leaves "<hN>", a list item "<hl>", a line break "<h>".
+    text = F.regexp_replace(text, _LINE_START, "\n<h$1$2>")
     for level in range(1, 7):
-        text = _literal(text, f"<{level}>", "\n" + "#" * level + " ")
-    text = _literal(_literal(text, "<l>", "* "), "<L>", "* ")
+        text = _literal(text, f"<h{level}>", "\n" + "#" * level + " ")
+    text = _literal(_literal(text, "<hl>", "* "), "<hL>", "* ")
     text = F.regexp_replace(text, _TAG, "")
     text = _trim_lines(_entities(text))
     text = F.regexp_replace(text, r"\n\n\n+", "\n\n")

@@ -37,7 +37,7 @@ def assemble_parts(
     the limit and each grouped on its own. Nothing is left out, and one key
     holding a large share of all parts is spread like any other data.
 
-    The over-long documents are found by a map-side-combined sum of lengths.
+    Ordinals are unique within a document. The over-long documents are found by a map-side-combined sum of lengths.
     There are at most (all bytes / ``max_bytes``) of them, 400,000 in 100 TB, so
     that side is broadcast.
     """
@@ -50,12 +50,12 @@ def assemble_parts(
         F.max(F.octet_length(part) + 2).alias("_largest"),
     )
     long = sizes.filter(F.col("_bytes") > max_bytes).select(
-        key, F.greatest(F.lit(1), F.floor(max_bytes / F.col("_largest"))).alias("_run")
+        F.col(key).alias("_long"), F.greatest(F.lit(1), F.floor(max_bytes / F.col("_largest"))).alias("_run")
     )
     piece = F.coalesce(F.floor(F.col(ord) / F.col("_run")), F.lit(0)).cast("long")
     parts = F.array_sort(F.collect_list(F.struct(F.col(ord).alias("o"), part.alias("p"))))
     return (
-        df.join(F.broadcast(long), key, "left")
+        df.join(F.broadcast(long), F.col(key).eqNullSafe(F.col("_long")), "left")
         .groupBy(key, piece.alias("piece"))
         .agg(F.array_join(F.transform(parts, lambda x: x["p"]), "\n\n").alias("markdown"))
     )

@@ -3,6 +3,9 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.sizing import BROADCAST_BYTES, text_bytes
+from ..session import settle
+
 
 def route_engine(requested: Column, default: str, by_extension: Column) -> Column:
     """A named engine wins, then the configured default, then the extension.
@@ -22,10 +25,16 @@ def engine_for_extension(df: DataFrame, support: DataFrame, ext="ext") -> DataFr
     """Add ``engine``: the supporting converter of lowest rank, or null.
 
     ``support`` has one row per (ext, engine, rank). It is reduced to one row
-    per extension first, so the document side is neither grouped nor copied;
-    Spark broadcasts the reduced side when its size allows.
+    per extension first, so the document side is not grouped. The reduced side
+    is measured and broadcast if small, so documents do not move and a common
+    extension is no hot key. Past the limit it is stored, which leaves a plain
+    shuffle join where adaptive execution can split such a key.
     """
     best = support.groupBy(F.lower("ext").alias("_ext")).agg(
         F.min_by("engine", F.struct("rank", "engine")).alias("engine")
     )
+    if text_bytes(best, "_ext", "engine") <= BROADCAST_BYTES:
+        best = F.broadcast(best)
+    else:
+        best = settle(best)
     return df.join(best, F.lower(F.col(ext)) == F.col("_ext"), "left").drop("_ext")

@@ -9,6 +9,7 @@ from ..operators.registry import DEFAULT_REGISTRY
 from ..schema import RESULT_COLUMNS
 from ..sources.requests import complete_requests
 from .batch import convert_batch
+from .sizing import broadcast_if_small
 
 
 def convert_requests(
@@ -17,11 +18,15 @@ def convert_requests(
     """A result row per request; ``files`` has ``file_path`` and text or content.
 
     A request for a file that does not exist is answered with an error row of
-    kind ``NOT_FOUND``, unless its options are wrong as well.
+    kind ``NOT_FOUND``, unless its options are wrong as well. Requests that turn
+    out small are broadcast, so the documents stay where they are; otherwise
+    both sides are shuffled on the path.
     """
     registry = registry or DEFAULT_REGISTRY
+    texts = [name for name, kind in requests.dtypes if kind == "string"]
+    nearby = complete_requests(broadcast_if_small(requests, *texts))
+    found = match_requests(nearby, files, "file_path").withColumnRenamed("file_path", "file")
     requests = complete_requests(requests)
-    found = match_requests(requests, files, "file_path").withColumnRenamed("file_path", "file")
     converted = convert_batch(
         found, registry=registry, default_engine=default_engine, collisions=False
     )

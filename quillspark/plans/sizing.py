@@ -4,15 +4,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIB = 1 << 20
+# What may be broadcast once it has been measured.
+BROADCAST_BYTES = 64 * MIB
 
 
 def text_bytes(df: DataFrame, *columns) -> int:
-    """Bytes of some text columns, with an allowance per row; one job."""
-    row = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(64))
+    """Bytes of some text columns, with an allowance per row and column; one job."""
+    fixed = 64 + 16 * len(df.columns)
+    row = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(fixed))
     return df.agg(F.sum(row)).first()[0] or 0
 
 
-def broadcast_if_small(df: DataFrame, *columns, max_bytes=64 * MIB) -> DataFrame:
+def broadcast_if_small(df: DataFrame, *columns, max_bytes=BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast when the measured size allows; else leave it to a shuffle."""
     return F.broadcast(df) if text_bytes(df, *columns) <= max_bytes else df
 
