@@ -62,7 +62,11 @@ class ConverterRegistry:
 
     def support(self, spark):
         """The registry as a small table (ext, engine, rank)."""
-        return spark.createDataFrame(self.support_rows(), "ext string, engine string, rank int")
+        rows = [
+            F.struct(F.lit(ext).alias("ext"), F.lit(engine).alias("engine"), F.lit(rank).alias("rank"))
+            for ext, engine, rank in self.support_rows()
+        ]
+        return spark.range(1).select(F.inline(F.array(*rows)))
 
     def engine_of(self, ext):
         """The lookup of ``support`` as an expression over an extension column."""

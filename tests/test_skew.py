@@ -117,3 +117,31 @@ def test_requests_split_into_found_and_missing(spark):
     assert found.count() + lost.count() == 300
     assert {r["file"] for r in lost.collect()} == {5, 6}
     assert lost.columns == asked.columns
+
+
+@pytest.mark.parametrize("join", [match_requests, missing_files])
+def test_a_hot_file_is_split_at_run_time(spark, join):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        i = F.col("id")
+        asked = spark.range(0, 60000, 1, 8).select(
+            F.when(i % 3 == 0, -1).otherwise(i).alias("file"), F.sha2(i.cast("string"), 256).alias("note")
+        )
+        files = spark.range(0, 60000, 2).select(i.alias("file"))
+        done = join(asked, files, "file")
+        rows = done.toPandas()
+        assert "skew=true" in done._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    present = 20000
+    assert len(rows) == (present if join is match_requests else 60000 - present)
