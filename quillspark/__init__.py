@@ -21,7 +21,7 @@ from .operators.report import batch_summary, status_report
 from .operators.routing import engine_for_extension, route_engine
 from .plans.batch import convert_batch
 from .plans.folder import convert_folder
-from .plans.requests import convert_requests
+from .plans.requests import assemble_requested, convert_requests
 from .plans.sink import export_files, run_batch, saved_markdown, write_markdown
 from .sources.files import filter_supported, scan_folder
 from .sources.requests import complete_requests, scan_requests

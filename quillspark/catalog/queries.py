@@ -13,7 +13,7 @@ from ..operators.registry import default_registry
 from ..operators.report import batch_summary, status_report
 from ..operators.routing import engine_for_extension, route_engine
 from ..plans.batch import convert_batch
-from ..plans.requests import convert_requests
+from ..plans.requests import assemble_requested, convert_requests
 from ..plans.sink import run_batch, saved_markdown, write_markdown
 from ..plans.sizing import spread_small
 from ..session import new_shared_path
@@ -222,6 +222,17 @@ def q_assemble_sliced_parts(spark, sf_dir):
     return assemble_parts(turns, "conv_id", "turn", "role", "text")
 
 
+def q_assemble_requested_parts(spark, sf_dir):
+    asked = resolve_options(inputs.requests(spark, sf_dir)).select(
+        F.col("doc_id").alias("request_id"),
+        F.col("doc_id").alias("conv_id"),
+        F.greatest("start_page", F.lit(0)).alias("start_page"),
+        "end_page",
+    )
+    turns = inputs.table(spark, sf_dir, "conversations")
+    return assemble_requested(asked, turns, "request_id", "conv_id", "turn", "role", "text")
+
+
 def q_resolve_collisions(spark, sf_dir):
     pages = inputs.table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("file"))
     stem = names.file_parts(names.url_path(F.col("file")))["stem"]

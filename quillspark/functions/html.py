@@ -1,35 +1,39 @@
 """HTML to Markdown as built-in string expressions.
 
-Every rule is one pass over the text, so rules whose replacement is the same
-share a pass, literal replacements use ``replace`` (no regular expression), and
-white space is trimmed line by line, which stays linear on long blank runs.
+Every regular expression is a pass over the whole text, so rules share passes
+where they can, patterns start with one plain character, literal replacements
+use ``replace``, and white space is handled line by line, which stays linear on
+long blank runs.
 """
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .result import converted
+from .result import bind, converted
 
 _BLANKS = " \t\r\f"
 _REST = r"(?:[ \t\r\n\f/][^>]*)?"
 
 # Comments, scripts and styles; one left open runs to the end of the page, as it
-# does in a browser. Also "<h>" and "<hl>", which are no HTML tags, so that the
-# marks set below cannot be mistaken.
+# does in a browser. Also "<h>", "<hl>" and "<hb>", which are no HTML tags, so
+# that the marks set below cannot be mistaken.
 _INVISIBLE = (
-    r"(?is)<!--.*?(?:-->|\z)"
-    rf"|<script{_REST}>.*?(?:</script>|\z)"
-    rf"|<style{_REST}>.*?(?:</style>|\z)"
-    r"|<hl?>"
+    r"<(?is:!--.*?(?:-->|\z)"
+    rf"|script{_REST}>.*?(?:</script>|\z)"
+    rf"|style{_REST}>.*?(?:</style>|\z)"
+    r"|h[lb]?>)"
 )
-_HEAD = rf"(?is)<head{_REST}>.*?</head>"
-_LINK = r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
-_BOLD = r"(?is)<(?:b|strong)>([^<]*)</(?:b|strong)>"
-_BLOCK = (
-    r"(?i)<(?:/?(?:p|div|ul|ol|nav|article|section|header|footer|main|aside"
-    rf"|blockquote|pre|table|tr){_REST}|/h[1-6]{_REST})>"
+_HEAD = rf"<(?is:head{_REST}>.*?</head>)"
+_LINK = r'<(?is:a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>)'
+_BOLD = r"<(?i:b|strong)>([^<]*)</(?i:b|strong)>"
+# What starts a line, marked by what it was: "<hN>" a heading, "<hl>" a list item,
+# "<hb>" a line break, "<h>>" a block (or the end of a heading).
+_STRUCTURE = (
+    rf"<(?i:(?:h([1-6])|(l)i|(b)r){_REST}>"
+    r"|(?:/?(?:p|div|ul|ol|nav|article|section|header|footer|main|aside|blockquote|pre"
+    rf"|table|tr)|/h[1-6]){_REST}(>))"
 )
-_LINE_START = rf"(?i)<(?:h([1-6])|(l)i|br){_REST}>"
+_MARK = "\n<h$1$2$3$4>"
 # "a < b" is no tag: a tag starts with a letter, "/", "!" or "?".
 _TAG = r"<[a-zA-Z/!?][^>]*>"
 
@@ -56,14 +60,25 @@ def _entities(text: Column) -> Column:
     return text
 
 
-def _trim_lines(text: Column) -> Column:
-    lines = F.transform(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(_BLANKS)))
-    return F.array_join(lines, "\n")
+def _lines(text: Column) -> Column:
+    return F.transform(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(_BLANKS)))
+
+
+def _paragraphs(text: Column) -> Column:
+    """Lines trimmed, blank lines after a blank line left out."""
+
+    def join(lines):
+        kept = F.filter(lines, lambda line, i: (line != "") | ((i > 0) & (F.get(lines, i - 1) != "")))
+        return F.array_join(kept, "\n")
+
+    return F.btrim(bind(_lines(text), join), F.lit("\n"))
 
 
 def html_is_closed(text: Column) -> Column:
     """True when the page ends with its closing tag, i.e. was not cut off."""
-    return F.lower(F.right(F.rtrim(text, F.lit(_BLANKS + "\n")), F.lit(7))) == "</html>"
+    end = F.lower(F.right(F.rtrim(text, F.lit(_BLANKS + "\n")), F.lit(7)))
+    # Most pages need no look at their blanks.
+    return F.when(F.endswith(text, F.lit("</html>")), True).otherwise(end == "</html>")
 
 
 def html_body_to_markdown(text: Column) -> Column:
@@ -72,16 +87,13 @@ def html_body_to_markdown(text: Column) -> Column:
     text = F.regexp_replace(text, _HEAD, "")
     text = F.regexp_replace(text, _LINK, "[$2]($1)")
     text = F.regexp_replace(text, _BOLD, "**$1**")
-    text = F.regexp_replace(text, _BLOCK, "\n\n")
-    # A heading leaves "<hN>", a list item "<hl>", a line break "<h>".
-    text = F.regexp_replace(text, _LINE_START, "\n<h$1$2>")
+    text = F.regexp_replace(text, _STRUCTURE, _MARK)
+    text = _literal(text, "<h>>", "\n")
     for level in range(1, 7):
         text = _literal(text, f"<h{level}>", "\n" + "#" * level + " ")
     text = _literal(_literal(text, "<hl>", "* "), "<hL>", "* ")
     text = F.regexp_replace(text, _TAG, "")
-    text = _trim_lines(_entities(text))
-    text = F.regexp_replace(text, r"\n\n\n+", "\n\n")
-    return F.btrim(text, F.lit(_BLANKS + "\n"))
+    return _paragraphs(_entities(text))
 
 
 def html_columns(text: Column):
@@ -93,8 +105,8 @@ def tagless_columns(text: Column):
     """The visible words, one line per tag: what a cut-off page falls back to."""
     plain = F.regexp_replace(text, _INVISIBLE, "")
     plain = F.regexp_replace(plain, _TAG, "\n")
-    plain = F.regexp_replace(_trim_lines(_entities(plain)), r"\n\n+", "\n")
-    return F.btrim(plain, F.lit(_BLANKS + "\n")), F.when(text.isNull(), "text error: no text")
+    words = F.filter(_lines(_entities(plain)), lambda line: line != "")
+    return F.array_join(words, "\n"), F.when(text.isNull(), "text error: no text")
 
 
 def html_to_markdown(text: Column) -> Column:

@@ -9,17 +9,24 @@ MAX_STEM = 40
 SHORT_STEM = 30
 UNSAFE_CHARACTERS = r'[<>:"/\\|?*]'
 
+# Everything up to the last dot, and the extension from there.
 _SUFFIXED = r"(?s)\A(.+)(\.[^.]+)\z"
 
 
 def url_path(url: Column) -> Column:
     """A URL without its query and fragment, so it reads like a file path."""
-    return F.regexp_replace(url, r"(?s)[?#].*\z", "")
+    return F.substring_index(F.substring_index(url, "?", 1), "#", 1)
+
+
+def _without_slash(path: Column) -> Column:
+    return F.when(
+        F.endswith(path, F.lit("/")), F.left(path, F.length(path) - F.lit(1))
+    ).otherwise(path)
 
 
 def file_name(path: Column) -> Column:
     """Last path segment; one trailing slash is ignored."""
-    return F.regexp_extract(path, r"(?s)([^/]+)/?\z", 1)
+    return F.substring_index(_without_slash(path), "/", -1)
 
 
 def file_parts(path: Column) -> Column:
@@ -29,17 +36,19 @@ def file_parts(path: Column) -> Column:
     extension.
     """
     name = file_name(path)
-    suffixed = name.rlike(_SUFFIXED)
+    ext = F.regexp_extract(name, _SUFFIXED, 2)
     return F.struct(
         name.alias("name"),
-        F.when(suffixed, F.regexp_extract(name, _SUFFIXED, 1)).otherwise(name).alias("stem"),
-        F.when(suffixed, F.regexp_extract(name, _SUFFIXED, 2)).otherwise("").alias("ext"),
+        F.left(name, F.length(name) - F.length(ext)).alias("stem"),
+        ext.alias("ext"),
     )
 
 
 def parent_dir(path: Column) -> Column:
-    """Everything before the last segment."""
-    return F.regexp_extract(path, r"(?s)\A(.*)/[^/]+/?\z", 1)
+    """Everything before the last segment; ``.`` when there is nothing."""
+    whole, name = _without_slash(path), file_name(path)
+    parent = F.left(whole, F.length(whole) - F.length(name) - F.lit(1))
+    return F.when(whole == name, ".").when(parent == "", "/").otherwise(parent)
 
 
 def safe_name(stem: Column) -> Column:

@@ -23,18 +23,30 @@ def _with_text(df: DataFrame) -> DataFrame:
     return df.withColumns({"text": decoded["text"], "_unreadable": decoded["error"]})
 
 
+def _test_of(converter):
+    return f"_accepted_by_{converter.name}"
+
+
 def _conversion_of(converter, text):
     if converter.secondary is None:
         return single_conversion(converter.name, converter.columns, text)
     return fallback_conversion(
-        (converter.name, converter.columns), converter.secondary, converter.accepts(text), text
+        (converter.name, converter.columns), converter.secondary, F.col(_test_of(converter)), text
     )
 
 
 def _convert_columns(docs: DataFrame, converters) -> DataFrame:
     """All column converters in one pass: one ``CASE`` on the engine per result."""
-    nothing = F.lit(None).cast("string")
-    engine, fallback, markdown = F.col("_engine"), F.lit(False), nothing
+    # Columns of their own for what several results depend on, so that each
+    # document is tested and checked once.
+    tests = {
+        _test_of(c): F.when(F.col("_engine") == c.name, c.accepts(F.col("text")))
+        for c in converters
+        if c.secondary
+    }
+    docs = docs.withColumns(tests) if tests else docs
+    engine, fallback = F.col("_engine"), F.lit(False)
+    markdown = F.lit(None).cast("string")
     errors = no_errors()
     for converter in converters:
         result = _conversion_of(converter, F.col("text"))
@@ -44,8 +56,6 @@ def _convert_columns(docs: DataFrame, converters) -> DataFrame:
         errors = F.when(chosen, result.errors).otherwise(errors)
         markdown = F.when(chosen, result.markdown).otherwise(markdown)
     refused = F.size("_refused") > 0
-    # The errors are a column of their own before anything refers to them, so
-    # that each document is checked once; the Markdown follows from them.
     checked = docs.withColumns(
         {
             "errors": F.when(refused, F.col("_refused"))

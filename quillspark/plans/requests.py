@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators.matching import match_requests, missing_files
 from ..operators.options import request_errors
+from ..operators.parts import MAX_DOCUMENT_BYTES, assemble_parts, slice_parts
 from ..operators.registry import DEFAULT_REGISTRY
 from ..schema import RESULT_COLUMNS
 from ..sources.requests import complete_requests
@@ -51,3 +52,25 @@ def convert_requests(
         }
     )
     return converted.unionByName(answered.select(*RESULT_COLUMNS))
+
+
+def assemble_requested(
+    requests: DataFrame,
+    parts: DataFrame,
+    request: str,
+    key: str,
+    ord: str,
+    heading: str,
+    text: str,
+    max_bytes=MAX_DOCUMENT_BYTES,
+) -> DataFrame:
+    """The parts each request asks for, as one text: ``(request, piece, markdown)``.
+
+    ``requests`` has a unique ``request``, the ``key`` of a document and its
+    ``start_page`` and ``end_page``; a null end means to the end. Requests that
+    turn out small are broadcast, so parts move once only, to be joined.
+    """
+    bounds = requests.select(request, key, "start_page", "end_page")
+    asked = parts.join(broadcast_if_small(bounds), key)
+    chosen = slice_parts(asked, ord, F.col("start_page"), F.col("end_page"))
+    return assemble_parts(chosen, request, ord, heading, text, max_bytes)

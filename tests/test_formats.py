@@ -177,9 +177,9 @@ def test_closing_tag_test(spark):
 
 
 def test_open_comments_and_marks(spark):
-    texts = ["a <h>b<hL>c <1> d < e<!-- open <p>x", "<p>x</p><script>if (a<b)", "<h2>a<HL>b</h2>c"]
+    texts = ["a <h>b<hL>c <1> d < e<BR>><Hb>f<!-- open <p>x", "<p>x</p><script>if (a<b)", "<h2>a<HL>b</h2>c"]
     got = [r["markdown"] for r in column_values(spark, texts, html.html_to_markdown)]
-    assert got == ["a bc <1> d < e", "x", "## ab\n\nc"]
+    assert got == ["a bc <1> d < e\n>f", "x", "## ab\n\nc"]
 
 
 def test_tags_are_stripped_to_words(spark):

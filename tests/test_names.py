@@ -31,6 +31,11 @@ def test_directories_and_a_trailing_slash_are_stripped(spark):
     assert [r["name"] for r in got] == ["a.csv", "a.csv", "a b.csv"]
 
 
+def test_parents(spark):
+    paths = ["/x/y/a.csv", "/a.csv", "a.csv", "x/a.csv/", "s3://b/k/a.csv"]
+    assert column_values(spark, paths, names.parent_dir) == ["/x/y", "/", ".", "x", "s3://b/k"]
+
+
 def test_url_path_drops_query_and_fragment(spark):
     urls = ["http://h/a.html?x=/b.c#d", "http://h/a#top?x", "http://h/a"]
     assert column_values(spark, urls, names.url_path) == ["http://h/a.html", "http://h/a", "http://h/a"]
