@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.sizing import BROADCAST_BYTES, text_bytes
+from ..plans.sizing import BROADCAST_BYTES, measured_bytes
 from ..session import settle
 
 
@@ -33,7 +33,7 @@ def engine_for_extension(df: DataFrame, support: DataFrame, ext="ext") -> DataFr
     best = support.groupBy(F.lower("ext").alias("_ext")).agg(
         F.min_by("engine", F.struct("rank", "engine")).alias("engine")
     )
-    if text_bytes(best, "_ext", "engine") <= BROADCAST_BYTES:
+    if measured_bytes(best) <= BROADCAST_BYTES:
         best = F.broadcast(best)
     else:
         best = settle(best)

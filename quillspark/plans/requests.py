@@ -7,7 +7,7 @@ from ..operators.matching import match_requests, missing_files
 from ..operators.options import request_errors
 from ..operators.parts import MAX_DOCUMENT_BYTES, assemble_parts, slice_parts
 from ..operators.registry import DEFAULT_REGISTRY
-from ..schema import RESULT_COLUMNS
+from ..schema import REQUEST_SCHEMA, RESULT_COLUMNS
 from ..sources.requests import complete_requests
 from .batch import convert_batch
 from .sizing import broadcast_if_small
@@ -24,17 +24,15 @@ def convert_requests(
     both sides are shuffled on the path.
     """
     registry = registry or DEFAULT_REGISTRY
-    texts = [name for name, kind in requests.dtypes if kind == "string"]
-    nearby = complete_requests(broadcast_if_small(requests, *texts))
+    nearby = complete_requests(broadcast_if_small(requests))
     found = match_requests(nearby, files, "file_path").withColumnRenamed("file_path", "file")
-    requests = complete_requests(requests)
     converted = convert_batch(
         found, registry=registry, default_engine=default_engine, collisions=False
     )
-    lost = missing_files(requests, files, "file_path").withColumn(
-        "engine", F.lit(None).cast("string")
-    )
-    refused = request_errors(registry.list_converters())
+    # A file that is not there is told before an engine that is not known.
+    fields = [f for f in REQUEST_SCHEMA.names if f in requests.columns and f != "engine"]
+    lost = complete_requests(missing_files(requests, files, "file_path"))
+    refused = request_errors(registry.list_converters(), fields)
     nothing = F.lit(None).cast("string")
     answered = lost.select(F.col("file_path").alias("file"), refused.alias("_refused")).withColumns(
         {

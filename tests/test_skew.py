@@ -145,3 +145,33 @@ def test_a_hot_file_is_split_at_run_time(spark, join):
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     present = 20000
     assert len(rows) == (present if join is match_requests else 60000 - present)
+
+
+def test_a_size_check_covers_every_kind_of_column(spark):
+    from quillspark.plans.sizing import broadcast_if_small, measured_bytes
+
+    df = spark.range(10).select(
+        "id",
+        F.repeat(F.lit("é"), 500).alias("text"),
+        F.create_map(F.lit("k"), F.repeat(F.lit("x"), 2000)).alias("extra"),
+        F.lit(None).cast("string").alias("none"),
+    )
+    assert 30_000 < measured_bytes(df) < 40_000
+    assert measured_bytes(df.limit(0)) == 0
+    other = spark.range(10)
+    hinted = other.join(broadcast_if_small(df, 40_000), "id")._jdf.queryExecution().analyzed().toString()
+    plain = other.join(broadcast_if_small(df, 20_000), "id")._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in hinted and "broadcast" not in plain
+
+
+def test_engines_by_extension_without_a_broadcast(spark, monkeypatch):
+    from quillspark.operators import routing
+    from quillspark.operators.registry import default_registry
+
+    docs = spark.createDataFrame([(".HTML",), (".csv",), (".zip",)], "ext string")
+    support = default_registry().support(spark)
+    expected = {".HTML": "html", ".csv": "csv", ".zip": None}
+    for limit in (routing.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(routing, "BROADCAST_BYTES", limit)
+        rows = routing.engine_for_extension(docs, support).collect()
+        assert {r["ext"]: r["engine"] for r in rows} == expected
