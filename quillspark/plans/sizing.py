@@ -1,5 +1,7 @@
 """Size checks before data is broadcast or spread."""
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +38,8 @@ def spread_small(df: DataFrame, key: str, below_bytes=512 * MIB) -> DataFrame:
     files = df.inputFiles()
     if not files or len(files) >= wanted:
         return df
-    lengths = spark.read.format("binaryFile").load(files).select("length")
+    paths = [unquote(file) for file in files]
+    lengths = spark.read.format("binaryFile").load(paths).select("length")
     if (lengths.agg(F.sum("length")).first()[0] or 0) > below_bytes:
         return df
     return df.repartition(wanted, key)
