@@ -36,8 +36,8 @@ def broadcast_if_small(df, limit=BROADCAST_BYTES):
     return F.broadcast(kept) if measured_bytes(kept) <= limit else kept
 
 
-def labelled_texts(docs, labels, label, key, text, learn, per_class):
-    """At most ``per_class`` texts of either class, as ``label int, text binary``.
+def labelled_texts(docs, labels, label, key, text, learn, most):
+    """At most ``most[c]`` texts of class c, as ``label int, text binary``.
 
     Labels that are null, not 0 or 1, or of a null key are left out; of several
     labels of a key the largest counts. Which rows are taken follows from a hash
@@ -50,7 +50,7 @@ def labelled_texts(docs, labels, label, key, text, learn, per_class):
         .agg(F.max(label).cast("int").alias("label"))
     )
     chosen = [
-        known.filter(F.col("label") == c).orderBy(F.xxhash64("_k"), "_k").limit(per_class)
+        known.filter(F.col("label") == c).orderBy(F.xxhash64("_k"), "_k").limit(most[c])
         for c in (0, 1)
     ]
     wanted = settle(chosen[0].unionByName(chosen[1]))

@@ -97,7 +97,7 @@ def train_quality(docs, labels, learn=None, key="doc_id", text="text", label="qu
     Only statistics reach the driver. With labels of one class alone every score
     is that class; with none it is 0.5.
     """
-    sample = labelled_texts(docs, labels, label, key, text, F.lit(True) if learn is None else learn, per_class)
+    sample = labelled_texts(docs, labels, label, key, text, F.lit(True) if learn is None else learn, (per_class, per_class))
 
     def each(batches):
         import pyarrow as pa

@@ -9,6 +9,7 @@ before, so spaced and dotted spellings are whole words again.
 """
 
 import re
+import zlib
 from itertools import combinations
 
 import numpy as np
@@ -18,17 +19,20 @@ from pyspark.sql import types as T
 from ..session import settle
 from .common import labelled_texts, lots, texts_of
 
-# Labelled documents of either class that the fit uses at most.
-PER_CLASS = 3_000
-LANDMARKS = 128
+# Labelled documents of the classes that the fit uses at most. Clean ones are more,
+# so that a word that stands in toxic documents alone does so by meaning.
+TOXIC_DOCS, CLEAN_DOCS = 2_500, 7_500
+EVIDENCE = 9.0  # of a first word, as the negative logarithm of its chance
+LANDMARKS = 256
 WORDS = 1_500  # words of either class in one fit
 ROUNDS = 3
+RIDGE = 1e-5
 DECAY = 0.6
-LONGEST = 16  # longer words are read in overlapping windows of this length
+LONGEST = 18  # longer words are read in overlapping windows of this length
 STRIDE = 8
 CACHE = 400_000  # words whose scores a worker remembers
 THRESHOLD = 0.5
-CODES = 40
+CODES = 42  # letters, and the edges of a word
 # Characters commonly written for a letter.
 LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 
@@ -55,9 +59,10 @@ def spelled(raw):
 
 
 def codes(text):
-    """Numbers below 40 for letters; those beyond a-z share thirteen codes."""
+    """Numbers below 42 for letters and edges; letters beyond a-z share thirteen."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int32)
-    return np.where((points >= 97) & (points <= 122), points - 96, 27 + points % 13)
+    inner = np.where((points >= 97) & (points <= 122), points - 96, 27 + points % 13)
+    return np.where(points <= 2, 39 + points, inner)
 
 
 _TRIPLES = {}
@@ -95,9 +100,9 @@ def _norms(matrix):
 
 def _grouped(words):
     """(positions, code matrix) for words cut to windows, by window length."""
-    size = np.fromiter(map(len, words), np.int64, len(words))
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
     start = np.cumsum(size) - size
-    flat = codes("".join(words))
+    flat = codes("".join([f"\x01{w}\x02" for w in words]))
     at = [np.flatnonzero(size <= LONGEST)]
     begin, length = [start[at[0]]], [size[at[0]]]
     for i in np.flatnonzero(size > LONGEST):
@@ -116,22 +121,22 @@ def _grouped(words):
 def dense(words):
     """Normalised feature rows of short words, for landmarks."""
     out = np.zeros((len(words), CODES**3), np.float32)
-    for at, matrix in _grouped([w[:LONGEST] for w in words]):
+    for at, matrix in _grouped([w[: LONGEST - 2] for w in words]):
         t, weight = _subsequences(matrix)
         np.add.at(out, (at[:, None], t), weight[None, :])
     norm = np.sqrt((out**2).sum(1, keepdims=True))
     return out / np.maximum(norm, 1e-12)
 
 
-def kernel(words, landmark_rows):
-    """Normalised kernel of each word with each landmark; its best window counts."""
-    out = np.zeros((len(words), len(landmark_rows)), np.float32)
-    table = np.ascontiguousarray(landmark_rows.T)
+def kernel(words, table):
+    """Kernel of each word with each landmark, a column of ``table``; its best window counts."""
+    out = np.zeros((len(words), table.shape[1]), np.float32)
     for at, matrix in _grouped(words):
-        for s in range(0, len(at), 100):
-            t, weight = _subsequences(matrix[s : s + 100])
-            k = np.einsum("utm,t->um", table[t], weight) / _norms(matrix[s : s + 100])[:, None]
-            np.maximum.at(out, at[s : s + 100], k.astype(np.float32))
+        norms = _norms(matrix)[:, None]
+        for s in range(0, len(at), 50):
+            t, weight = _subsequences(matrix[s : s + 50])
+            k = np.matmul(weight[None, None, :], table[t])[:, 0] / norms[s : s + 50]
+            np.maximum.at(out, at[s : s + 50], k)
     return out
 
 
@@ -139,15 +144,19 @@ class KernelMachine:
     """Squared-hinge SVM over Nystrom features of the kernel."""
 
     def __init__(self, landmarks):
+        landmarks = list(dict.fromkeys(landmarks))
         rows = dense(landmarks)
         value, vector = np.linalg.eigh((rows @ rows.T).astype(float))
         keep = value > 1e-4
         self.map = vector[:, keep] / np.sqrt(value[keep])
-        self.rows = rows
-
-    def fit(self, words, y, ridge=1e-3):
-        x = np.hstack([kernel(words, self.rows) @ self.map, np.ones((len(words), 1))])
-        weight = np.where(y > 0, len(y) / (2 * max((y > 0).sum(), 1)), len(y) / (2 * max((y < 0).sum(), 1)))
+        self.table = np.ascontiguousarray(rows.T)
+
+    def fit(self, words, y, times, ridge=RIDGE):
+        """``times``: how often each word was seen; its logarithm weighs the word."""
+        x = np.hstack([kernel(words, self.table) @ self.map, np.ones((len(words), 1))])
+        weight = np.log1p(times)
+        for side in (y > 0, y < 0):
+            weight[side] *= len(y) / (2 * max(weight[side].sum(), 1e-9))
         w, eye = np.zeros(x.shape[1]), np.eye(x.shape[1]) * ridge * len(y)
         eye[-1, -1] = 1e-6
         active = np.ones(len(y), bool)
@@ -159,16 +168,14 @@ class KernelMachine:
                 break
             active = now
         # The decision is linear in subsequence weights, so one table holds it.
-        self.bias = float(w[-1])
-        self.table = (self.rows.T @ (self.map @ w[:-1])).astype(np.float32)
+        self.bias, self.weights = float(w[-1]), (self.table @ (self.map @ w[:-1])).astype(np.float32)
 
     def decide(self, words):
-        """Decision of each word; below three letters there is no subsequence: the bias."""
+        """Decision of each word, that of its worst window if it is long."""
         out = np.full(len(words), -np.inf, np.float32)
         for at, matrix in _grouped(words):
             t, weight = _subsequences(matrix)
-            value = (self.table[t] @ weight) / _norms(matrix)
-            np.maximum.at(out, at, value.astype(np.float32))
+            np.maximum.at(out, at, (self.weights[t] @ weight) / _norms(matrix))
         return np.where(np.isfinite(out), out, 0.0) + self.bias
 
 
@@ -204,32 +211,35 @@ class ToxicityModel:
 
 
 def word_counts(sample):
-    """``word, toxic, clean``: in how many different surroundings each word stands.
+    """``word, toxic, clean, docs``: in how many different surroundings each word stands.
 
     A surrounding is the word with its two neighbours. Copies of a document repeat
     the surroundings of its words and add nothing; a surrounding that a clean
-    document has as well counts as clean.
+    document has as well counts as clean. ``docs`` is the number of toxic
+    documents, where those with an equal smallest hash of surroundings are one.
     """
 
     def each(batches):
         import pyarrow as pa
 
         for lot in lots(batches):
-            words, around, label = [], [], []
+            out = []
             for y, text in zip(lot.column(0).to_pylist(), texts_of(lot.column(1))):
-                raw = (text or "").lower().split()
-                spells = [spelled(w) for w in raw]
-                seen = set(zip(spells, zip([""] + spells[:-1], spells[1:] + [""])))
-                for w, (a, b) in seen:
-                    if 3 <= len(w) <= LONGEST:
-                        words.append(w)
-                        around.append(f"{a} {b}")
-                        label.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(around, pa.string()), pa.array(label, pa.int32())], ["word", "around", "label"])
-
-    found = sample.mapInArrow(each, "word string, around string, label int")
-    once = found.groupBy("word", F.xxhash64("around").alias("around")).agg(F.min("label").alias("label"))
-    return once.groupBy("word").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
+                spells = [spelled(w) for w in (text or "").lower().split()]
+                seen = {(w, zlib.crc32(f"{a} {w} {b}".encode())) for w, a, b in zip(spells, [""] + spells[:-1], spells[1:] + [""])}
+                mark = min((h for _, h in seen), default=0)
+                out += [(w, h, y, mark) for w, h in seen if 1 < len(w) <= LONGEST - 2]
+            cols = list(zip(*out)) if out else [[]] * 4
+            types = (pa.string(), pa.int64(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], ["word", "around", "label", "mark"])
+
+    found = sample.mapInArrow(each, "word string, around long, label int, mark long")
+    once = found.groupBy("word", "around").agg(F.min("label").alias("label"), F.min("mark").alias("mark"))
+    return once.groupBy("word").agg(
+        F.sum("label").alias("toxic"),
+        F.sum(1 - F.col("label")).alias("clean"),
+        F.approx_count_distinct(F.when(F.col("label") == 1, F.col("mark"))).alias("docs"),
+    )
 
 
 def _spread(words, count):
@@ -245,8 +255,8 @@ def _spread(words, count):
     return [words[i] for i in taken]
 
 
-def train_toxicity(docs, labels, learn=None, key="doc_id", text="text", label="toxic", per_class=PER_CLASS):
-    """Fit on at most ``per_class`` labelled documents of either class.
+def train_toxicity(docs, labels, learn=None, key="doc_id", text="text", label="toxic", most=(CLEAN_DOCS, TOXIC_DOCS)):
+    """Fit on at most ``most`` labelled documents of the classes 0 and 1.
 
     Labels are given for documents; which words make a sentence toxic is learned
     in rounds: the first machine takes words that stand in many surroundings of
@@ -254,31 +264,38 @@ def train_toxicity(docs, labels, learn=None, key="doc_id", text="text", label="t
     scores highest and the words of toxic documents it agrees on. The driver gets
     bounded lists of words. With one class alone every score is that class.
     """
-    sample = labelled_texts(docs, labels, label, key, text, F.lit(True) if learn is None else learn, per_class)
+    sample = labelled_texts(docs, labels, label, key, text, F.lit(True) if learn is None else learn, most)
     present = {r["label"] for r in sample.select("label").distinct().collect()}
     if len(present) < 2:
         return ToxicityModel(constant=0.0 if not present else float(min(present)))
     counts = settle(word_counts(sample))
     total = counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
-    share = (F.col("toxic") + 0.5) / float((total["t"] or 0) + 1)
-    odds = F.log(share * float((total["c"] or 0) + 1) / (F.col("clean") + 0.5))
-    rated = counts.withColumn("odds", odds)
+    toxic, clean = float(total["t"] or 0), float(total["c"] or 0)
+    share = (toxic + 1) / (toxic + clean + 2)
+    odds = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5)) - float(np.log(share / (1 - share)))
+    # How unlikely it is that a word of no meaning meets toxic documents alone.
+    chance = F.col("docs") * float(-np.log(share)) - F.col("clean") * 3
+    rated = counts.withColumn("odds", odds).withColumn("evidence", chance)
+
+    times = {}
 
     def top(df, *order):
-        return [r["word"] for r in df.orderBy(*order, "word").limit(WORDS).select("word").collect()]
+        rows = df.orderBy(*order, "word").limit(WORDS).select("word", (F.col("toxic") + F.col("clean")).alias("n")).collect()
+        times.update((r["word"], r["n"]) for r in rows)
+        return [r["word"] for r in rows]
 
-    bad = top(rated.filter((F.col("toxic") >= 4) & (F.col("odds") > 3)), F.desc("toxic"))
+    bad = top(rated.filter((F.col("evidence") > EVIDENCE) & (F.col("odds") > 3)), F.desc("docs"))
     if not bad:
-        bad = top(rated.filter((F.col("toxic") > 0) & (F.col("clean") == 0)), F.desc("toxic"))[:50]
+        bad = top(rated.filter((F.col("toxic") > 0) & (F.col("clean") == 0)), F.desc("docs"))[:20]
     good = top(rated.filter("clean > 0 and odds < 1"), F.desc("clean")) + top(rated.filter("clean > 0 and odds < 1"), F.xxhash64("word"))
     good = list(dict.fromkeys(good))
     if not bad or not good:
         return ToxicityModel(constant=0.0)
     hard = []
     for turn in range(ROUNDS):
-        machine = KernelMachine(_spread(bad, LANDMARKS * 3 // 4) + _spread(hard or good, LANDMARKS // 4))
+        machine = KernelMachine(_spread(bad, LANDMARKS // 2) + hard[: LANDMARKS // 4] + _spread(hard or good, LANDMARKS // 4))
         clean = list(dict.fromkeys(good + hard))
-        machine.fit(bad + clean, np.array([1.0] * len(bad) + [-1.0] * len(clean)))
+        machine.fit(bad + clean, np.array([1.0] * len(bad) + [-1.0] * len(clean)), np.array([float(times[w]) for w in bad + clean]))
         if turn + 1 == ROUNDS:
             break
         shared = docs.sparkSession.sparkContext.broadcast(machine)
@@ -290,8 +307,8 @@ def train_toxicity(docs, labels, learn=None, key="doc_id", text="text", label="t
             return pd.Series(shared.value.decide(list(words)), dtype=float)
 
         seen = settle(rated.withColumn("d", decide("word")))
-        hard = list(dict.fromkeys(hard + top(seen.filter("clean > 0 and odds < 1"), F.desc("d"))))
-        bad = list(dict.fromkeys(bad + top(seen.filter("clean = 0 and toxic > 0 and d > 0.5"), F.desc("d"))))
+        hard = list(dict.fromkeys(top(seen.filter("clean > 0 and odds < 1"), F.desc("d")) + hard))
+        bad = list(dict.fromkeys(bad + top(seen.filter("clean = 0 and toxic > 0 and evidence > 2 and d > 0.5"), F.desc("d"))))
     model = ToxicityModel(machine)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
