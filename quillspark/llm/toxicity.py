@@ -24,6 +24,7 @@ from .common import labelled_texts, lots, texts_of
 TOXIC_DOCS, CLEAN_DOCS = 2_500, 7_500
 EVIDENCE = 9.0  # of a first word, as the negative logarithm of its chance
 LANDMARKS = 256
+SPREAD = 600  # words that landmarks are chosen from
 WORDS = 1_500  # words of either class in one fit
 ROUNDS = 3
 RIDGE = 1e-5
@@ -119,23 +120,30 @@ def _grouped(words):
 
 
 def dense(words):
-    """Normalised feature rows of short words, for landmarks."""
-    out = np.zeros((len(words), CODES**3), np.float32)
-    for at, matrix in _grouped([w[: LONGEST - 2] for w in words]):
-        t, weight = _subsequences(matrix)
-        np.add.at(out, (at[:, None], t), weight[None, :])
+    """Normalised feature rows of short words, over the subsequences they have.
+
+    Returns the matrix, whose last column is empty, and for every possible
+    subsequence its column.
+    """
+    found = [(at, *_subsequences(matrix)) for at, matrix in _grouped([w[: LONGEST - 2] for w in words])]
+    used = np.unique(np.concatenate([t.ravel() for _, t, _ in found])) if found else np.empty(0, np.int64)
+    column = np.full(CODES**3, len(used), np.int32)
+    column[used] = np.arange(len(used))
+    out = np.zeros((len(words), len(used) + 1), np.float32)
+    for at, t, weight in found:
+        np.add.at(out, (at[:, None], column[t]), weight[None, :])
     norm = np.sqrt((out**2).sum(1, keepdims=True))
-    return out / np.maximum(norm, 1e-12)
+    return out / np.maximum(norm, 1e-12), column
 
 
-def kernel(words, table):
+def kernel(words, table, column):
     """Kernel of each word with each landmark, a column of ``table``; its best window counts."""
     out = np.zeros((len(words), table.shape[1]), np.float32)
     for at, matrix in _grouped(words):
         norms = _norms(matrix)[:, None]
         for s in range(0, len(at), 50):
             t, weight = _subsequences(matrix[s : s + 50])
-            k = np.matmul(weight[None, None, :], table[t])[:, 0] / norms[s : s + 50]
+            k = np.matmul(weight[None, None, :], table[column[t]])[:, 0] / norms[s : s + 50]
             np.maximum.at(out, at[s : s + 50], k)
     return out
 
@@ -145,7 +153,7 @@ class KernelMachine:
 
     def __init__(self, landmarks):
         landmarks = list(dict.fromkeys(landmarks))
-        rows = dense(landmarks)
+        rows, self.column = dense(landmarks)
         value, vector = np.linalg.eigh((rows @ rows.T).astype(float))
         keep = value > 1e-4
         self.map = vector[:, keep] / np.sqrt(value[keep])
@@ -153,7 +161,7 @@ class KernelMachine:
 
     def fit(self, words, y, times, ridge=RIDGE):
         """``times``: how often each word was seen; its logarithm weighs the word."""
-        x = np.hstack([kernel(words, self.table) @ self.map, np.ones((len(words), 1))])
+        x = np.hstack([kernel(words, self.table, self.column) @ self.map, np.ones((len(words), 1))])
         weight = np.log1p(times)
         for side in (y > 0, y < 0):
             weight[side] *= len(y) / (2 * max(weight[side].sum(), 1e-9))
@@ -168,7 +176,8 @@ class KernelMachine:
                 break
             active = now
         # The decision is linear in subsequence weights, so one table holds it.
-        self.bias, self.weights = float(w[-1]), (self.table @ (self.map @ w[:-1])).astype(np.float32)
+        self.bias, self.weights = float(w[-1]), (self.table @ (self.map @ w[:-1])).astype(np.float32)[self.column]
+        del self.table, self.column, self.map
 
     def decide(self, words):
         """Decision of each word, that of its worst window if it is long."""
@@ -244,9 +253,10 @@ def word_counts(sample):
 
 def _spread(words, count):
     """Landmarks far from each other: each next one is least like those taken."""
+    words = words[:SPREAD]
     if len(words) <= count:
         return list(words)
-    rows = dense(words)
+    rows = dense(words)[0]
     taken, near = [0], rows @ rows[0]
     while len(taken) < count:
         i = int(np.argmin(near))
