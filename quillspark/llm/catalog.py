@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from . import counts, decontaminate, language, neighbours, pieces, quality, sentencepieces, simhash, tokens, toxicity, warc
 from .common import fold
+from .oracles import ORACLES
 
 
 def tokenizer_path(name):
@@ -87,4 +88,4 @@ def pipeline(spark, sf_dir):
 
 _ALL = (op1_warc, op2_quality, op3_simhash, op4_tokens, op5_token_counts, op6_toxicity, op7_sentencepiece, op8_language, op9_decontaminate, op10_neighbours, pipeline)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES = {}
+__all__ = ["ORACLES", "QUERIES"]
