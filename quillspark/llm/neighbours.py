@@ -11,7 +11,7 @@ K = 20
 BLOCK = 16384  # candidates of one cell
 QUERY_BLOCK = 1024  # queries of one cell
 SEED = 42
-ERROR = 1.9  # error bounds of an estimate, in standard deviations
+ERROR = 3.0  # error bounds of an estimate, in standard deviations
 
 
 def rotation(dim, seed=SEED):

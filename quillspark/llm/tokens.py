@@ -16,8 +16,9 @@ from .common import broadcast_if_small, lots, texts_of
 END_ID = 0
 SHARD_TOKENS = 1 << 20  # a shard is closed once it holds as many ids
 GAMMA = 2.0  # bits of a level of the hash per key
-CACHE = 400_000  # pieces of text whose ids a worker remembers
+CACHE = 200_000  # pieces, and pre-tokens, whose ids a worker remembers
 _CUT = re.compile(r" (?=\S)")
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)\Z")
 _ODD = re.compile(r" (?:\s|\Z)")
 
 
@@ -26,7 +27,9 @@ class Encoder:
 
     A byte-level tokenizer without normaliser begins a pre-token at each space
     that a non-space follows, so texts are cut there and the ids of pieces are
-    remembered. Any other tokenizer gets whole texts.
+    remembered. A piece of plain letters is one pre-token, with the marks behind
+    it another; they go to the tokenizer's model at once, all other pieces to its
+    pre-tokenizer first. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, spec):
@@ -35,31 +38,59 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         told = json.loads(spec)
         before = told.get("pre_tokenizer") or {}
+        added = told.get("added_tokens", [])
         self.cuts = (
-            before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
-            and told.get("normalizer") is None and not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") for t in told.get("added_tokens", []))
+            before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and told.get("normalizer") is None
+            and told["model"]["type"] == "BPE" and not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") for t in added)
         )
+        self.added = [t["content"] for t in added]
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.known = {}
+        self.model, self.known, self.tokens = self.tokenizer.model, {}, {}
+        self.letters = {}
+        if self.cuts:
+            split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+            plain = [chr(c) for c in [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]]
+            self.letters = {ord(c): "".join(x for x, _ in split(c)) for c in plain}
+            self.space = split(" a")[0][0][:-1]
 
     def _plain(self, texts):
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _token(self, written):
+        """Ids of one pre-token, written in the tokenizer's alphabet of bytes."""
+        ids = self.tokens.get(written)
+        if ids is None:
+            if len(self.tokens) >= CACHE:
+                self.tokens.clear()
+            ids = self.tokens[written] = np.array([t.id for t in self.model.tokenize(written)], self.kind).tobytes()
+        return ids
+
+    def _piece(self, piece):
+        """Ids of a piece with a space in front of it."""
+        simple = _SIMPLE.match(piece)
+        if simple:
+            word, marks = simple.groups()
+            ids = self._token(self.space + word.translate(self.letters))
+            return ids + self._token(marks) if marks else ids
+        if any(t in piece for t in self.added):
+            return self._plain([" " + piece])[0]
+        return b"".join([self._token(w) for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(" " + piece)])
+
     def encode(self, texts):
-        """Ids of each text as little-endian bytes."""
+        """Ids of each text as little-endian bytes, one text after the other."""
         if not self.cuts:
-            return self._plain(texts)
-        parts = [_CUT.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
-        firsts = self._plain([p[0] for p in parts])
-        rest = set().union(*[p[1:] for p in parts]) if parts else set()
-        new = list(rest.difference(self.known))
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = list(rest)
-        if new:
-            self.known.update(zip(new, self._plain([" " + w for w in new])))
-        get = self.known.__getitem__
-        return [first + b"".join(map(get, p[1:])) for first, p in zip(firsts, parts)]
+            yield from self._plain(texts)
+            return
+        for text in texts:
+            parts = _CUT.split(text) if _ODD.search(text) else text.split(" ")
+            rest = parts[1:]
+            new = set(rest).difference(self.known)
+            if len(self.known) + len(new) > CACHE:
+                self.known.clear()
+                new = set(rest)
+            for piece in new:
+                self.known[piece] = self._piece(piece)
+            yield self._plain(parts[:1])[0] + b"".join(map(self.known.__getitem__, rest))
 
 
 def hashes_of(keys, times):
