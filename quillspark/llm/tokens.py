@@ -1,5 +1,6 @@
 """Token ids in binary shards, found through a minimal perfect hash."""
 
+import array
 import json
 import re
 import zlib
@@ -16,7 +17,7 @@ from .common import broadcast_if_small, lots, texts_of
 END_ID = 0
 SHARD_TOKENS = 1 << 20  # a shard is closed once it holds as many ids
 GAMMA = 2.0  # bits of a level of the hash per key
-CACHE = 200_000  # pieces, and pre-tokens, whose ids a worker remembers
+CACHE = 400_000  # pieces, and pre-tokens, whose ids a worker remembers
 _CUT = re.compile(r" (?=\S)")
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)\Z")
 _ODD = re.compile(r" (?:\s|\Z)")
@@ -45,6 +46,7 @@ class Encoder:
         )
         self.added = [t["content"] for t in added]
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = "H" if self.kind == "<u2" else "I"
         self.model, self.known, self.tokens = self.tokenizer.model, {}, {}
         self.letters = {}
         if self.cuts:
@@ -62,16 +64,22 @@ class Encoder:
         if ids is None:
             if len(self.tokens) >= CACHE:
                 self.tokens.clear()
-            ids = self.tokens[written] = np.array([t.id for t in self.model.tokenize(written)], self.kind).tobytes()
+            ids = self.tokens[written] = array.array(self.code, [t.id for t in self.model.tokenize(written)]).tobytes()
         return ids
 
-    def _piece(self, piece):
-        """Ids of a piece with a space in front of it."""
+    def _simple(self, piece, space):
+        """Ids of letters with marks behind them; None for any other piece."""
         simple = _SIMPLE.match(piece)
         if simple:
             word, marks = simple.groups()
-            ids = self._token(self.space + word.translate(self.letters))
+            ids = self._token(space + word.translate(self.letters))
             return ids + self._token(marks) if marks else ids
+
+    def _piece(self, piece):
+        """Ids of a piece with a space in front of it."""
+        ids = self._simple(piece, self.space)
+        if ids is not None:
+            return ids
         if any(t in piece for t in self.added):
             return self._plain([" " + piece])[0]
         return b"".join([self._token(w) for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(" " + piece)])
@@ -90,7 +98,8 @@ class Encoder:
                 new = set(rest)
             for piece in new:
                 self.known[piece] = self._piece(piece)
-            yield self._plain(parts[:1])[0] + b"".join(map(self.known.__getitem__, rest))
+            first = self._simple(parts[0], "")
+            yield (self._plain(parts[:1])[0] if first is None else first) + b"".join(map(self.known.__getitem__, rest))
 
 
 def hashes_of(keys, times):
