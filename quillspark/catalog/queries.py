@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import formats, html, names, options
-from ..functions.errors import classify_error
+from ..functions.errors import MESSAGE_TAIL, classify_error
 from ..operators.collisions import resolve_collisions
 from ..operators.fallback import convert_with_fallback
 from ..operators.matching import match_requests, missing_files
@@ -148,7 +148,7 @@ def q_classify_error(spark, sf_dir):
         .when(d % 4 == 2, "conversion_failed")
     )
     docs = inputs.table(spark, sf_dir, "documents")
-    result = classify_error(cause, F.col("text"))
+    result = classify_error(cause, F.col("text"), tail=MESSAGE_TAIL)
     return docs.select(
         "doc_id",
         result["kind"].alias("kind"),
@@ -264,12 +264,12 @@ def _batch_rows(results):
 
 
 def q_convert_batch(spark, sf_dir):
-    return _batch_rows(convert_batch(inputs.pages(spark, sf_dir), **PAGE_OPTIONS))
+    return _batch_rows(convert_batch(inputs.pages(spark, sf_dir), collisions=True, **PAGE_OPTIONS))
 
 
 def _mixed(spark, sf_dir, **more):
     corpus = inputs.corpus(spark, sf_dir).withColumnRenamed("file_path", "file")
-    return convert_batch(corpus, mode="folder", base_dir="/out", **more)
+    return convert_batch(corpus, mode="folder", base_dir="/out", **{"collisions": True, **more})
 
 
 def q_convert_mixed_batch(spark, sf_dir):

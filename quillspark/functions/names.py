@@ -71,7 +71,7 @@ def output_location(file, requested, stem, mode="single", base_dir=None) -> Colu
             raise ValueError(f"mode '{mode}' needs base_dir")
         default = F.lit(base_dir)
     else:
-        raise ValueError(f"Unknown mode '{mode}'. Allowed values: single, folder, inbox")
+        raise ValueError(f"mode '{mode}' is not accepted; use one of single, folder, inbox")
     asked = F.when(F.length(requested) > 0, requested)
     directory = F.regexp_replace(F.coalesce(asked, default), r"([^/])/+\z", "$1")
     return F.struct(

@@ -74,17 +74,17 @@ def request_errors(engines, fields=REQUEST_SCHEMA.names):
     if overrides or "start_page" in fields or "end_page" in fields:
         start, end = _effective("start_page", "int"), _effective("end_page", "int")
         reasons += [
-            F.when(start < 0, "start_page must be >= 0"),
-            F.when(end < 0, "end_page must be >= 0"),
-            F.when(end < start, "end_page must be >= start_page"),
+            F.when(start < 0, "start_page is below 0"),
+            F.when(end < 0, "end_page is below 0"),
+            F.when(end < start, "end_page comes before start_page"),
         ]
     if overrides or "backend" in fields:
         backend = normalize_backend(_effective("backend"))["value"]
         unserved = F.endswith(backend, F.lit("-http-client")) & (
             F.coalesce(_effective("server_url"), F.lit("")) == ""
         )
-        demand = "' requires a remote server; pass server_url in the request"
-        reasons.append(F.when(unserved, F.concat(F.lit("Backend '"), backend, F.lit(demand))))
+        demand = "' works on a remote server and server_url is empty"
+        reasons.append(F.when(unserved, F.concat(F.lit("backend '"), backend, F.lit(demand))))
     if "engine" in fields:
         engine = F.lower(F.coalesce("engine", F.lit("")))
         unknown = ~engine.isin("", "auto", *engines)

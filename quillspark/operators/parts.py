@@ -19,9 +19,9 @@ def slice_parts(df: DataFrame, ord_col: str, start=0, end=None) -> DataFrame:
         last = end if isinstance(end, Column) else F.lit(end)
         return df.filter((position >= F.coalesce(first, F.lit(0))) & (position <= F.coalesce(last, position)))
     if start < 0 or (end is not None and end < 0):
-        raise ValueError("start_page and end_page must be >= 0")
+        raise ValueError("start_page or end_page is below 0")
     if end is not None and end < start:
-        raise ValueError("end_page must be >= start_page")
+        raise ValueError("end_page comes before start_page")
     df = df.filter(position >= start)
     return df if end is None else df.filter(position <= end)
 

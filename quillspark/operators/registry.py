@@ -1,7 +1,7 @@
 """Converters by name."""
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import functions as F
 
@@ -38,6 +38,8 @@ class ConverterRegistry:
     def add(self, converter: Converter) -> Converter:
         if not converter.name:
             raise ValueError("A converter needs a non-empty name")
+        # Requests are lower-cased, so names are too.
+        converter = replace(converter, name=converter.name.lower())
         self._converters[converter.name] = converter
         return converter
 

@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.errors import MESSAGE_TAIL
 from ..schema import STATUS_COLUMNS
 
 
@@ -14,7 +13,7 @@ def status_report(results: DataFrame) -> DataFrame:
     take the results from the stored table where converting is costly.
     """
     failed = F.col("status") == "error"
-    detail = F.right(F.concat_ws("; ", "errors"), F.lit(MESSAGE_TAIL))
+    detail = F.concat_ws("; ", "errors")
     report = results.withColumns(
         {
             "engine": F.when(~failed, F.col("engine")),

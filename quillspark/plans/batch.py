@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.errors import classify_error
 from ..functions.formats import decode_text
-from ..functions.names import file_parts, output_location, safe_name
+from ..functions.names import file_parts, output_location
 from ..operators.collisions import resolve_collisions
 from ..operators.fallback import fallback_conversion, no_errors, single_conversion
 from ..operators.options import request_errors
@@ -88,7 +88,7 @@ def convert_batch(
     base_dir=None,
     default_engine="auto",
     options=None,
-    collisions=True,
+    collisions=False,
 ) -> DataFrame:
     """Result rows of a table of documents, one per document.
 
@@ -99,9 +99,10 @@ def convert_batch(
     ``base_dir`` are those of ``output_location``.
 
     Conversion is a projection: documents are read once and do not move. A bad
-    document becomes an error row. With ``collisions`` the columns of
-    ``resolve_collisions`` are added, which reads the input a second time for
-    the paths; for large stores use ``run_batch``, which takes them from the
+    document becomes an error row. The output path has the whole stem, so files
+    with different names never meet. ``collisions`` adds the columns of
+    ``resolve_collisions``, which runs the conversion, registered converters
+    included, a second time for the paths; ``run_batch`` takes them from the
     stored result instead.
     """
     registry = registry or DEFAULT_REGISTRY
@@ -119,7 +120,7 @@ def convert_batch(
         "_unreadable",
         "output_dir",
         parts["ext"].alias("ext"),
-        safe_name(parts["stem"]).alias("_stem"),
+        parts["stem"].alias("_stem"),
         request_errors(names, fields).alias("_reasons"),
         route_engine(F.col("engine"), default_engine, registry.engine_of(parts["ext"])).alias(
             "_engine"

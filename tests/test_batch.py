@@ -183,14 +183,14 @@ def test_requests_for_missing_files(spark):
     )
     files = spark.createDataFrame([("/a.txt", "hi")], "file_path string, text string")
     got = sorted(
-        (r["file"], r["status"], r["error_kind"] or "", "; ".join(r["errors"])[:30])
+        (r["file"], r["status"], r["error_kind"] or "", "; ".join(r["errors"])[:31])
         for r in convert_requests(asked, files).collect()
     )
     assert got == [
         ("/a.txt", "ok", "", ""),
         ("/a.txt", "ok", "", ""),
         ("/b.txt", "error", "NOT_FOUND", "File not found: /b.txt"),
-        ("/c.txt", "error", "BAD_REQUEST", "Unsupported language 'xx'. All"),
+        ("/c.txt", "error", "BAD_REQUEST", "lang 'xx' is not known; use one"),
     ]
 
 
@@ -199,7 +199,7 @@ COLLIDING = [("/x/a.txt", "old"), ("/y/a.html", "<p>new</p></html>"), ("/x/b.txt
 
 def test_the_last_good_file_of_a_path_is_saved(spark, folder):
     df = spark.createDataFrame(COLLIDING, "file string, text string")
-    results = convert_batch(df, mode="folder", base_dir="/out")
+    results = convert_batch(df, mode="folder", base_dir="/out", collisions=True)
     write_markdown(results, f"{folder}/saved")
     saved = spark.read.parquet(f"{folder}/saved")
     rows = sorted((r["output_path"], r["file"], r["markdown"]) for r in saved.collect())
@@ -224,3 +224,42 @@ def test_run_batch_reports_from_the_store(spark, folder):
         "/z/a.json": (0, False),
     }
     assert sorted(r["file"] for r in saved_markdown(spark, folder).collect()) == ["/x/b.txt", "/y/a.html"]
+
+
+LONG = "Quarterly report of the northern region {} 2024"
+
+
+def test_long_names_that_begin_alike_are_all_saved(spark, folder):
+    months = ["January", "February", "March"]
+    df = spark.createDataFrame([(f"/in/{LONG.format(m)}.txt", m) for m in months], "file string, text string")
+    status = run_batch(df, folder, mode="folder", base_dir="/out").collect()
+    assert all((r["n_same_path"], r["survives"]) == (1, True) for r in status)
+    saved = {r["output_path"]: r["markdown"] for r in saved_markdown(spark, folder).collect()}
+    assert saved == {f"/out/{LONG.format(m)}/{LONG.format(m)}.md": m for m in months}
+
+
+def test_a_report_keeps_every_reason(spark):
+    rows = [("/a.txt", "error", [f"reason {i} " + "x" * 100 for i in range(20)])]
+    df = spark.createDataFrame(rows, "file string, status string, errors array<string>")
+    for name in ("engine", "output_path", "images_dir", "output_dir"):
+        df = df.withColumn(name, F.lit(None).cast("string"))
+    detail = status_report(df.withColumn("fallback", F.lit(False))).first()["detail"]
+    assert all(f"reason {i} " in detail for i in range(20))
+
+
+def test_a_converter_of_mixed_case_runs_once_per_row(spark):
+    registry, seen = default_registry(), spark.sparkContext.accumulator(0)
+
+    def shout(df):
+        @F.udf("string")
+        def loud(text):
+            seen.add(1)
+            return text.upper()
+
+        return df.withColumns({"markdown": loud("text"), "error": F.lit(None).cast("string")})
+
+    registry.register_converter("Shout", [".sh"], shout)
+    df = spark.createDataFrame([(f"/{i}.sh", "a", "SHOUT") for i in range(10)], "file string, text string, engine string")
+    rows = convert_batch(df, registry=registry).collect()
+    assert {(r["engine"], r["status"], r["markdown"]) for r in rows} == {("shout", "ok", "A")}
+    assert seen.value == 10
