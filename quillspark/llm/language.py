@@ -16,11 +16,14 @@ SEGMENTS = 4
 SEGMENT_WORDS = 12
 SEQUENCE = 4  # segments joined to one training sequence
 LANGUAGES = 512  # more languages than this are refused
-BUCKETS = 1 << 16
+BUCKETS = 1 << 16  # the upper 16 bits of a hash
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
 LEXICON_TIMES = 3  # a word seen as often in training belongs to a language's lexicon
 EPOCHS = 40
 CACHE = 300_000  # words whose features a worker remembers
-CHAIN_ROWS = 64  # texts whose chains run side by side
+CHAIN_WORDS = 200_000  # words of texts whose chains run side by side; a longer text runs alone
+RESCALE = 8  # steps between scalings
+AFFIX = 4  # letters of the longest prefix and suffix
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -30,17 +33,45 @@ def words_of(text):
     return _WORD.findall(text.lower())
 
 
-def features(word, lexicon):
-    """Hashed affixes, letter n-grams, the word itself, and languages that know it."""
-    w = word if len(word) <= 40 else word[:20] + word[-20:]
-    edge = f"<{w}>"
-    names = ["w" + w]
-    names += ["p" + w[:n] for n in (1, 2, 3, 4) if len(w) >= n]
-    names += ["s" + w[-n:] for n in (1, 2, 3, 4) if len(w) >= n]
-    names += {"g" + edge[i : i + 2] for i in range(len(edge) - 1)}
-    names += {"g" + edge[i : i + 3] for i in range(len(edge) - 2)}
-    names += ["l" + x for x in lexicon.get(w, ())]
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in names]
+def _mixed(hashes, codes):
+    return (hashes ^ codes) * _PRIME
+
+
+def features(words):
+    """Hashed features of many words: ``(grams, starts, whole)``.
+
+    ``grams`` has two rows, the buckets of the letter pairs and triples that begin
+    at each letter of all words with their edges, and word i begins at
+    ``starts[i]``. ``whole`` has a row for each word: the word itself, its first
+    one to four letters, and its last ones. A feature that a word lacks is in
+    bucket ``BUCKETS``, which has no weight.
+    """
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(size + 2)
+    starts = ends - size - 2
+    flat = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    behind = np.concatenate([flat[1:], flat[:2]])
+    pairs = _mixed(_mixed(np.uint64(2), flat), behind[:-1])
+    grams = np.stack([pairs, _mixed(pairs, behind[1:])]) >> np.uint64(48)
+    grams = grams.astype(np.int64)
+    grams[:, ends - 1] = BUCKETS
+    grams[1, ends - 2] = BUCKETS
+    whole = np.full((len(words), 1 + 2 * AFFIX), BUCKETS)
+    whole[:, 0] = [zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in words]
+    front, back = np.full(len(words), 3, np.uint64), np.full(len(words), 5, np.uint64)
+    for n in range(AFFIX):
+        has = size > n
+        front = _mixed(front, flat[np.where(has, starts + 1 + n, 0)])
+        back = _mixed(back, flat[np.where(has, ends - 2 - n, 0)])
+        whole[has, 1 + n] = (front[has] >> np.uint64(48)).astype(np.int64)
+        whole[has, 1 + AFFIX + n] = (back[has] >> np.uint64(48)).astype(np.int64)
+    return grams, starts, whole
+
+
+def known_in(words, lexicon):
+    """(position, bucket) of each language whose lexicon has a word."""
+    found = [(i, zlib.crc32(f"lexicon {x}".encode()) % BUCKETS) for i, w in enumerate(words) for x in lexicon.get(w, ())]
+    return np.array(found, np.int64).reshape(-1, 2).T
 
 
 def forward_backward(emit, length, transition, first):
@@ -68,11 +99,44 @@ def forward_backward(emit, length, transition, first):
     return post, alpha, beta, e, scale, inside, move
 
 
+def packed_posteriors(emit, lengths, transition, first):
+    """Posteriors of all labels of chains of falling ``lengths``, one below the other.
+
+    The chains run side by side, each step over those that reach it alone, so long
+    chains pad no short ones. Scaling every few steps is enough against underflow.
+    """
+    rows, steps, total = len(lengths), int(lengths[0]), int(lengths.sum())
+    active = rows - np.searchsorted(lengths[::-1], np.arange(steps), "right")
+    at = np.concatenate([[0], np.cumsum(active)])
+    step = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    place = at[step] + np.repeat(np.arange(rows), lengths)
+    e = np.empty((total, emit.shape[1]))
+    e[place] = np.exp(emit - emit.max(1, keepdims=True))
+    move, back = np.exp(transition), np.ascontiguousarray(np.exp(transition).T)
+    alpha, beta = np.empty_like(e), np.ones_like(e)
+    at, active = at.tolist(), active.tolist()
+    alpha[:rows] = e[:rows] * np.exp(first)
+    for t in range(1, steps):
+        now = alpha[at[t] : at[t + 1]]
+        np.matmul(alpha[at[t - 1] : at[t - 1] + active[t]], move, out=now)
+        now *= e[at[t] : at[t + 1]]
+        if t % RESCALE == 0:
+            now /= now.sum(1, keepdims=True)
+    for t in range(steps - 2, -1, -1):
+        now = beta[at[t] : at[t] + active[t + 1]]
+        np.matmul(e[at[t + 1] : at[t + 2]] * beta[at[t + 1] : at[t + 2]], back, out=now)
+        if t % RESCALE == 0:
+            now /= now.sum(1, keepdims=True)
+    post = alpha * beta
+    post /= post.sum(1, keepdims=True)
+    return post[place]
+
+
 class ChainModel:
     def __init__(self, labels, lexicon):
         self.labels, self.lexicon = labels, lexicon
         k = len(labels)
-        self.weights = np.zeros((BUCKETS, k), np.float32)
+        self.weights = np.zeros((BUCKETS + 1, k), np.float32)
         self.transition, self.first = np.zeros((k, k)), np.zeros(k)
         self._forget()
 
@@ -93,9 +157,12 @@ class ChainModel:
         """
         words = sorted({w for s in sequences for w, _ in s})
         number = {w: i for i, w in enumerate(words)}
-        sets = [features(w, self.lexicon) for w in words]
-        owner = np.repeat(np.arange(len(words)), [len(s) for s in sets])
-        bucket = np.array([b for s in sets for b in s])
+        grams, starts, whole = features(words)
+        known, lexical = known_in(words, self.lexicon)
+        letters = np.repeat(np.arange(len(words)), np.diff(np.append(starts, grams.shape[1])))
+        owner = np.concatenate([letters, letters, np.repeat(np.arange(len(words)), whole.shape[1]), known])
+        bucket = np.concatenate([grams[0], grams[1], whole.ravel(), lexical])
+        owner, bucket = owner[bucket < BUCKETS], bucket[bucket < BUCKETS]
         at = np.array([[number[w] for w, _ in s] for s in sequences])
         gold = np.array([[y for _, y in s] for s in sequences])
         rows, steps = at.shape
@@ -112,7 +179,7 @@ class ChainModel:
             pair = np.einsum("rti,rtj->ij", alpha[:, :-1], (e * beta / scale[:, :, None])[:, 1:]) * move
             error = truth - post
             by_word = np.stack([np.bincount(at.ravel(), error[:, :, c].ravel(), len(words)) for c in range(k)], 1)
-            grad = np.stack([np.bincount(bucket, by_word[owner, c], BUCKETS) for c in range(k)], 1).astype(np.float32)
+            grad = np.stack([np.bincount(bucket, by_word[owner, c], BUCKETS + 1) for c in range(k)], 1).astype(np.float32)
             grad -= decay * rows * self.weights
             square += grad**2
             self.weights += rate * grad / np.sqrt(square)
@@ -130,10 +197,12 @@ class ChainModel:
             if len(self.row) + len(new) > CACHE:
                 self._forget()
                 new = list(set(words))
-            sets = [features(w, self.lexicon) for w in new]
-            ends = np.cumsum([0] + [len(s) for s in sets])
-            flat = self.weights[np.array([b for s in sets for b in s])]
-            scores = np.add.reduceat(flat, ends[:-1], axis=0)
+            grams, starts, whole = features(new)
+            scores = self.weights[whole].sum(1)
+            for row in grams:
+                scores += np.add.reduceat(self.weights[row], starts, axis=0)
+            known, lexical = known_in(new, self.lexicon)
+            np.add.at(scores, known, self.weights[lexical])
             need = self.used + len(new)
             if need > len(self.table):
                 grown = np.empty((max(need, 2 * len(self.table), 4096), len(self.labels)), np.float32)
@@ -142,22 +211,23 @@ class ChainModel:
             self.table[self.used : need] = scores
             self.row.update(zip(new, range(self.used, need)))
             self.used = need
-        return np.array([self.row[w] for w in words])
+        return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
 
     def posteriors(self, bags):
         """Posterior (words, labels) of each list of words, chains run side by side."""
         out = [np.empty((0, len(self.labels)))] * len(bags)
-        order = sorted((i for i, b in enumerate(bags) if b), key=lambda i: len(bags[i]))
-        for s in range(0, len(order), CHAIN_ROWS):
-            some = order[s : s + CHAIN_ROWS]
-            length = np.array([len(bags[i]) for i in some])
-            emit = np.zeros((len(some), length.max(), len(self.labels)))
-            for r, i in enumerate(some):
-                at = self._rows_of(bags[i])
-                emit[r, : len(at)] = self.table[at]
-            post = forward_backward(emit, length, self.transition, self.first)[0]
-            for r, i in enumerate(some):
-                out[i] = post[r, : length[r]]
+        order = sorted((i for i, b in enumerate(bags) if b), key=lambda i: -len(bags[i]))
+        ends = np.cumsum([len(bags[i]) for i in order])
+        s = 0
+        while s < len(order):
+            before = ends[s - 1] if s else 0
+            some = order[s : max(s + 1, int(np.searchsorted(ends, before + CHAIN_WORDS, "right")))]
+            rows = self._rows_of([w for i in some for w in bags[i]])
+            lengths = np.array([len(bags[i]) for i in some])
+            post = packed_posteriors(self.table[rows], lengths, self.transition, self.first)
+            for i, part in zip(some, np.split(post, np.cumsum(lengths)[:-1])):
+                out[i] = part
+            s += len(some)
         return out
 
     def label(self, texts):

@@ -310,6 +310,25 @@ def test_forward_backward_sums_over_all_paths():
     assert np.allclose(post, want / want.sum(1, keepdims=True))
 
 
+def test_packed_chains_agree_with_padded_ones():
+    rng = np.random.default_rng(6)
+    lengths = np.array([40, 17, 17, 3, 1])
+    move, first = rng.normal(size=(3, 3)), rng.normal(size=3)
+    emits = [rng.normal(size=(n, 3)) * 5 for n in lengths]
+    packed = language.packed_posteriors(np.concatenate(emits), lengths, move, first)
+    plain = [language.forward_backward(e[None], np.array([len(e)]), move, first)[0][0] for e in emits]
+    assert np.allclose(packed, np.concatenate(plain))
+
+
+def test_features_of_a_word_do_not_depend_on_its_neighbours():
+    together, starts, whole = language.features(["a", "über", "straßenbahn", "a"])
+    assert (whole[0] == whole[3]).all()
+    for i, w in enumerate(["a", "über", "straßenbahn"]):
+        alone, _, row = language.features([w])
+        assert (together[:, starts[i] : starts[i] + len(w) + 2] == alone).all() and (whole[i] == row[0]).all()
+        assert (alone[0] < language.BUCKETS).sum() == len(w) + 1 and (alone[1] < language.BUCKETS).sum() == len(w)
+
+
 def test_language_of_words_and_documents(spark, docs):
     rng = random.Random(4)
     make = {"xx": ["tha", "ing", "wor"], "yy": ["zdo", "pře", "ský"]}
