@@ -3,7 +3,8 @@
 Every regular expression is a pass over the whole text, so rules share passes
 where they can, patterns start with one plain character, literal replacements
 use ``replace``, and white space is handled line by line, which stays linear on
-long blank runs.
+long blank runs. A tag ends before the next "<", and what is read of it is never
+given back, so unfinished tags cost no more than their length.
 """
 
 from pyspark.sql import Column
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from .result import bind, converted
 
 _BLANKS = " \t\r\f"
-_REST = r"(?:[ \t\r\n\f/][^>]*)?"
+_REST = r"(?:[ \t\r\n\f/][^<>]*+)?"
 
 # Comments, scripts and styles; one left open runs to the end of the page, as it
 # does in a browser. Also "<h>", "<hl>" and "<hb>", which are no HTML tags, so
@@ -23,9 +24,14 @@ _INVISIBLE = (
     rf"|style{_REST}>.*?(?:</style>|\z)"
     r"|h[lb]?>)"
 )
-_HEAD = rf"<(?is:head{_REST}>.*?</head>)"
-_LINK = r'<(?is:a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>)'
-_BOLD = r"<(?i:b|strong)>([^<]*)</(?i:b|strong)>"
+_HEAD_OPEN = rf"<(?is:head{_REST}>.*\z)"
+_HEAD_CLOSE = "(?i)</head>"
+# The whole link is seen to be complete before its address is looked for.
+_LINK = (
+    r"<(?is:a(?=\s[^<>]*+>[^<]*+</a>)"
+    r'[^<>]*?\shref="([^"<>]*+)"[^<>]*+>([^<]*+)</a>)'
+)
+_BOLD = r"<(?i:b|strong)>([^<]*+)</(?i:b|strong)>"
 # What starts a line, marked by what it was: "<hN>" a heading, "<hl>" a list item,
 # "<hb>" a line break, "<h>>" a block (or the end of a heading).
 _STRUCTURE = (
@@ -35,7 +41,7 @@ _STRUCTURE = (
 )
 _MARK = "\n<h$1$2$3$4>"
 # "a < b" is no tag: a tag starts with a letter, "/", "!" or "?".
-_TAG = r"<[a-zA-Z/!?][^>]*>"
+_TAG = r"<[a-zA-Z/!?][^<>]*+>"
 
 # Entities replaced; the ampersand comes last, so that "&amp;lt;"
 # ends as "&lt;".
@@ -74,6 +80,18 @@ def _paragraphs(text: Column) -> Column:
     return F.btrim(bind(_lines(text), join), F.lit("\n"))
 
 
+def _headless(text: Column) -> Column:
+    """Without what stands from a head's tag to its end; a head left open stays."""
+
+    def cut(pieces):
+        last = F.size(pieces) - 1
+        return F.array_join(
+            F.transform(pieces, lambda x, i: F.when(i < last, F.regexp_replace(x, _HEAD_OPEN, "")).otherwise(x)), ""
+        )
+
+    return bind(F.split(text, _HEAD_CLOSE, -1), cut)
+
+
 def html_is_closed(text: Column) -> Column:
     """True when the page ends with its closing tag, i.e. was not cut off."""
     end = F.lower(F.right(F.rtrim(text, F.lit(_BLANKS + "\n")), F.lit(7)))
@@ -84,7 +102,7 @@ def html_is_closed(text: Column) -> Column:
 def html_body_to_markdown(text: Column) -> Column:
     """The Markdown text alone."""
     text = F.regexp_replace(text, _INVISIBLE, "")
-    text = F.regexp_replace(text, _HEAD, "")
+    text = _headless(text)
     text = F.regexp_replace(text, _LINK, "[$2]($1)")
     text = F.regexp_replace(text, _BOLD, "**$1**")
     text = F.regexp_replace(text, _STRUCTURE, _MARK)

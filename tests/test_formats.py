@@ -1,6 +1,7 @@
 import csv
 import io
 import json
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -171,6 +172,38 @@ def test_long_blank_runs_stay_linear(spark):
     assert got.endswith("y\n\nz") and got.startswith("x  ")
 
 
+UNFINISHED = ['<a href="', "<a ", "<a href=\"x\" ", "<p ", "<head>", "</head><head>", "<!--", "<script", "<script ", "<style ", "<b>", "<a x>", "<h1 ", "< "]
+
+
+@pytest.mark.parametrize("shape", UNFINISHED)
+def test_unfinished_tags_stay_linear(spark, shape):
+    seconds = []
+    for size in (250_000, 1_000_000):
+        page = shape * (size // len(shape))
+        start = time.perf_counter()
+        got = column_values(spark, [page], lambda text: F.struct(html.html_to_markdown(text), html.strip_tags(text)))
+        seconds.append(time.perf_counter() - start)
+        assert len(got) == 1
+    assert seconds[1] < 5 and seconds[1] < 8 * seconds[0] + 1
+
+
+def test_one_tag_of_many_addresses_stays_linear(spark):
+    page = "<a " + 'href="x" ' * 100_000 + "<p>y</p>" + "<a " + 'data-href="x" ' * 100_000 + ">z</a>"
+    start = time.perf_counter()
+    assert column_values(spark, [page], html.html_to_markdown)[0]["markdown"].endswith("z")
+    assert time.perf_counter() - start < 5
+
+
+def test_heads_and_links(spark):
+    texts = [
+        "<HEAD><title>t</title></HEAD>a</head>b<head lang='x'>c<head>d</head>e<head>f",
+        '<a class="k" data-href="/no" href="/x" href="/y">in</a><a href="/z"\n>out</a>',
+        "<header>a</header>",
+    ]
+    got = [r["markdown"] for r in column_values(spark, texts, html.html_to_markdown)]
+    assert got == ["abef", "[in](/x)[out](/z)", "a"]
+
+
 def test_closing_tag_test(spark):
     texts = ["<p></html>", "<p></HTML> \n", "<p>", "</html> x", "", None]
     assert column_values(spark, texts, html.html_is_closed) == [True, True, False, False, False, None]
