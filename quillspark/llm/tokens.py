@@ -4,6 +4,7 @@ import array
 import json
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import xxhash
@@ -102,6 +103,12 @@ class Encoder:
             yield (self._plain(parts[:1])[0] if first is None else first) + b"".join(map(self.known.__getitem__, rest))
 
 
+@lru_cache(maxsize=1)
+def encoder_of(spec):
+    """The encoder of a worker process, which keeps what it remembers from task to task."""
+    return Encoder(spec)
+
+
 def hashes_of(keys, times):
     """128 bits for each pair of a key and how often it stood before."""
     raw = b"".join(xxhash.xxh3_128_digest(f"{k}:{t}".encode()) for k, t in zip(keys, times))
@@ -188,13 +195,12 @@ def write_ids(docs, path, spec, key="doc_id", text="text", end_id=END_ID, shard_
     repeat a key are told apart by their order, that of their texts.
     """
     shared = docs.sparkSession.sparkContext.broadcast(spec)
-    state = {}
 
     def each(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder = state.get("encoder") or state.setdefault("encoder", Encoder(shared.value))
+        encoder = encoder_of(shared.value)
         end = np.array([end_id], encoder.kind).tobytes()
         part, seq = TaskContext.get().partitionId(), 0
         keys, times, starts, counts, payload, total = [], [], [], [], [], 0
