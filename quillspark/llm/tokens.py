@@ -7,6 +7,8 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -17,11 +19,31 @@ from .common import broadcast_if_small, lots, texts_of
 
 END_ID = 0
 SHARD_TOKENS = 1 << 20  # a shard is closed once it holds as many ids
+LOT = 1024  # documents encoded at a time, of an Arrow batch whose bytes Spark bounds
 GAMMA = 2.0  # bits of a level of the hash per key
-CACHE = 400_000  # pieces, and pre-tokens, whose ids a worker remembers
+CACHE = 200_000  # pieces, and pre-tokens, of either generation that a worker remembers
 _CUT = re.compile(r" (?=\S)")
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)\Z")
-_ODD = re.compile(r" (?:\s|\Z)")
+_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
+MARKS = ".,;:!?"
+_ODD = r" (?:[\s\x0b\x1c-\x1f\x{85}\p{Z}]|\z)"  # of Arrow's own patterns: a space that begins no pre-token
+
+
+class Recent(dict):
+    """A bounded memory of two generations: what is asked for again moves to the younger."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= CACHE:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class Encoder:
@@ -48,7 +70,7 @@ class Encoder:
         self.added = [t["content"] for t in added]
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.code = "H" if self.kind == "<u2" else "I"
-        self.model, self.known, self.tokens = self.tokenizer.model, {}, {}
+        self.model, self.known, self.tokens = self.tokenizer.model, Recent(self._piece), Recent(self._token)
         self.letters = {}
         if self.cuts:
             split = self.tokenizer.pre_tokenizer.pre_tokenize_str
@@ -61,20 +83,20 @@ class Encoder:
 
     def _token(self, written):
         """Ids of one pre-token, written in the tokenizer's alphabet of bytes."""
-        ids = self.tokens.get(written)
-        if ids is None:
-            if len(self.tokens) >= CACHE:
-                self.tokens.clear()
-            ids = self.tokens[written] = array.array(self.code, [t.id for t in self.model.tokenize(written)]).tobytes()
-        return ids
+        return array.array(self.code, [t.id for t in self.model.tokenize(written)]).tobytes()
 
     def _simple(self, piece, space):
         """Ids of letters with marks behind them; None for any other piece."""
-        simple = _SIMPLE.match(piece)
-        if simple:
-            word, marks = simple.groups()
-            ids = self._token(space + word.translate(self.letters))
-            return ids + self._token(marks) if marks else ids
+        word = piece.rstrip(MARKS)
+        if not word.isalpha():
+            return None
+        marks = piece[len(word) :]
+        if not word.isascii():
+            if not _LATIN.match(word):
+                return None
+            word = word.translate(self.letters)
+        ids = self.tokens[space + word]
+        return ids + self.tokens[marks] if marks else ids
 
     def _piece(self, piece):
         """Ids of a piece with a space in front of it."""
@@ -83,24 +105,46 @@ class Encoder:
             return ids
         if any(t in piece for t in self.added):
             return self._plain([" " + piece])[0]
-        return b"".join([self._token(w) for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(" " + piece)])
+        return b"".join([self.tokens[w] for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(" " + piece)])
+
+    def _first(self, piece):
+        """Ids of a piece at the start of a text."""
+        ids = self._simple(piece, "")
+        return self._plain([piece])[0] if ids is None else ids
 
     def encode(self, texts):
-        """Ids of each text as little-endian bytes, one text after the other."""
+        """Ids of each text as little-endian bytes, one text after the other.
+
+        Texts whose spaces all begin pre-tokens are split by Arrow, and each
+        different piece of the lot is looked up once.
+        """
         if not self.cuts:
-            yield from self._plain(texts)
-            return
-        for text in texts:
-            parts = _CUT.split(text) if _ODD.search(text) else text.split(" ")
-            rest = parts[1:]
-            new = set(rest).difference(self.known)
-            if len(self.known) + len(new) > CACHE:
-                self.known.clear()
-                new = set(rest)
-            for piece in new:
-                self.known[piece] = self._piece(piece)
-            first = self._simple(parts[0], "")
-            yield (self._plain(parts[:1])[0] if first is None else first) + b"".join(map(self.known.__getitem__, rest))
+            return self._plain(texts)
+        known, out = self.known, [None] * len(texts)
+        whole = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(whole, _ODD).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(odd):
+            first, *rest = _CUT.split(texts[i])
+            out[i] = self._first(first) + b"".join([known[w] for w in rest])
+        even = np.flatnonzero(~odd)
+        split = pc.split_pattern(whole.take(pa.array(even)), " ")
+        if not len(even):
+            return out
+        pieces = split.flatten().dictionary_encode()
+        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        firsts, rank = bounds[:-1], pieces.indices.to_numpy().copy()
+        words = pieces.dictionary.to_pylist()
+        begins = [self._first(words[i]) for i in rank[firsts]]
+        rank[firsts] = len(words) + np.arange(len(even))
+        used = np.zeros(len(words), bool)
+        used[rank[rank < len(words)]] = True
+        ids = [known[w] if u else b"" for w, u in zip(words, used.tolist())]
+        laid = pa.array(ids + begins, pa.large_binary()).take(pa.array(rank))
+        ends = np.frombuffer(laid.buffers()[1], np.int64)[bounds].tolist()
+        data = memoryview(laid.buffers()[2] or b"")
+        for i, start, end in zip(even.tolist(), ends, ends[1:]):
+            out[i] = bytes(data[start:end])
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -212,7 +256,7 @@ def write_ids(docs, path, spec, key="doc_id", text="text", end_id=END_ID, shard_
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, arrow)], schema=arrow)
 
         arrow = _arrow(pa)
-        for lot in lots(batches):
+        for lot in lots(batches, LOT):
             texts = [t or "" for t in texts_of(lot.column(1))]
             for k, ids in zip(lot.column(0).to_pylist(), encoder.encode(texts)):
                 times_seen = times_seen + 1 if k == last else 0
