@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from ..functions.names import url_path
-from ..plans.sizing import spread_small
 
 # Extensions given to document rows in turn, in every case and kind.
 EXTENSIONS = [".txt", ".PDF", ".html", ".Csv", ".json", ".xml", ".docx", "", ".a.HTM"]
@@ -16,7 +15,7 @@ def table(spark, sf_dir, name):
 def pages(spark, sf_dir):
     """Web pages as files: ``file`` is the URL, ``name`` its path."""
     df = table(spark, sf_dir, "pages")
-    return spread_small(df, "page_id").select(
+    return df.select(
         "page_id",
         F.col("url").alias("file"),
         url_path(F.col("url")).alias("name"),
@@ -61,14 +60,24 @@ def corpus(spark, sf_dir):
     """Document rows as files of many formats: ``file_path`` and ``text``."""
     d, kind = F.col("doc_id"), F.col("doc_id") % len(EXTENSIONS)
     number, text, lang = d.cast("string"), F.col("text"), F.col("lang")
+
+    def escaped(pairs):
+        out = text
+        for old, new in pairs:
+            out = F.replace(out, F.lit(old), F.lit(new))
+        return out
+
+    quoted = escaped([('"', '""')])
+    in_json = escaped([("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")])
+    in_xml = escaped([("&", "&amp;"), ("<", "&lt;")])
     body = (
         F.when(kind == 2, F.concat(F.lit("<html><body><p>"), text, F.lit("</p></body></html>")))
-        .when(kind == 3, F.concat(F.lit("doc,lang,note\n"), number, F.lit(',"'), lang, F.lit('"')))
-        .when(kind == 4, F.concat(F.lit('{"doc": '), number, F.lit(', "lang": "'), lang, F.lit('"}')))
-        .when(kind == 5, F.concat(F.lit("<doc><lang>"), lang, F.lit("</lang></doc>")))
+        .when(kind == 3, F.concat(F.lit("doc,lang,note\n"), number, F.lit(',"'), lang, F.lit('","'), quoted, F.lit('"')))
+        .when(kind == 4, F.concat(F.lit('{"doc": '), number, F.lit(', "text": "'), in_json, F.lit('"}')))
+        .when(kind == 5, F.concat(F.lit("<doc><text>"), in_xml, F.lit("</text></doc>")))
         .otherwise(text)
     )
-    df = spread_small(table(spark, sf_dir, "documents"), "doc_id")
+    df = table(spark, sf_dir, "documents")
     return df.select(
         "doc_id",
         F.concat(
@@ -89,7 +98,7 @@ def csv_files(spark, sf_dir):
         F.lit('a|b,"say ""'), status, F.lit('""",'), who, F.lit(",extra"),
         F.when(status == "P", '\n"open').otherwise(""),
     )
-    df = spread_small(table(spark, sf_dir, "orders"), "o_orderkey")
+    df = table(spark, sf_dir, "orders")
     return df.select("o_orderkey", text.alias("text"))
 
 
@@ -101,7 +110,7 @@ def json_texts(spark, sf_dir):
         .when(kind == "view", F.concat(props, F.lit(" more")))
         .otherwise(props)
     )
-    df = spread_small(table(spark, sf_dir, "events"), "event_id")
+    df = table(spark, sf_dir, "events")
     return df.select("event_id", text.alias("text"))
 
 
@@ -113,5 +122,5 @@ def xml_texts(spark, sf_dir):
         F.lit("</type><props>"), "props",
         F.when(kind == "error", "</event>").otherwise("</props></event>"),
     )
-    df = spread_small(table(spark, sf_dir, "events"), "event_id")
+    df = table(spark, sf_dir, "events")
     return df.select("event_id", text.alias("text"))

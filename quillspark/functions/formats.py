@@ -19,9 +19,14 @@ _STRICT_JSON = {
 }
 
 
+def without_mark(text: Column) -> Column:
+    """Without the byte order mark that some programs put in front."""
+    return F.when(F.startswith(text, F.lit("\ufeff")), F.substring(text, F.lit(2), F.length(text))).otherwise(text)
+
+
 def decode_text(content: Column) -> Column:
     """``struct(text, error)`` of file bytes that should hold UTF-8."""
-    text = content.cast("string")
+    text = without_mark(content.cast("string"))
     valid = F.is_valid_utf8(text)
     error = F.when(content.isNull(), "text error: no content").when(
         ~valid, "text error: not valid UTF-8"
@@ -65,6 +70,17 @@ _XML_EMPTY = (
     rf"""<[^\s<>!?/]++(?:[^<>"'/]++|"[^"<]*+"|'[^'<]*+'|/(?!>))*+/>{_XML_MISC}\z"""
 )
 
+# A document type with its own declarations, and references to entities that it
+# may declare; those of XML itself stay.
+_XML_TYPE = rf"""(?s)\A({_XML_MISC})<!DOCTYPE(?:[^\[<>"']++|"[^"]*+"|'[^']*+')*+(?:\[[^\]]*+\]\s*+)?>"""
+_XML_REFERENCE = r"&(?!(?:amp|lt|gt|quot|apos);)[A-Za-z_:][\w:.\-]*+;"
+
+
+def _undeclared(text: Column) -> Column:
+    """What is left to check: the parser reads neither types nor declared entities."""
+    bare = F.regexp_replace(text, _XML_TYPE, "$1")
+    return F.when(F.contains(text, F.lit("<!ENTITY")), F.regexp_replace(bare, _XML_REFERENCE, "")).otherwise(bare)
+
 
 def _xml_flaw(text: Column) -> Column:
     """Null when the text starts with a complete element."""
@@ -78,10 +94,12 @@ def xml_columns(text: Column):
     The parser stops at the end of the first element. That this is the whole
     document shows when the text without its last end tag no longer parses.
     """
-    rest = F.regexp_replace(text, _XML_END, "$1")
-    whole = text.rlike(_XML_EMPTY) | (text.rlike(_XML_END) & _xml_flaw(rest).isNotNull())
+    text = without_mark(text)
+    read = F.when(F.contains(text, F.lit("<!DOCTYPE")), _undeclared(text)).otherwise(text)
+    rest = F.regexp_replace(read, _XML_END, "$1")
+    whole = read.rlike(_XML_EMPTY) | (read.rlike(_XML_END) & _xml_flaw(rest).isNotNull())
     error = F.when(text.isNull(), "xml error: no text").when(
-        _xml_flaw(text).isNotNull() | ~whole, "xml error: not well-formed"
+        _xml_flaw(read).isNotNull() | ~whole, "xml error: not well-formed"
     )
     return text, error
 
@@ -90,50 +108,62 @@ def _table_row(cells: Column) -> Column:
     return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
 
 
-def _csv_cells(line: Column) -> Column:
-    """Cells of one line. Pieces between quotes alternate: bare, quoted, bare.
+def _csv_lines(pieces: Column) -> Column:
+    """Encoded lines of a file split at its quotes: bare, quoted, bare, ...
 
-    Bare commas become the mark ``"s`` and doubled quotes the mark ``"q``; no
-    piece holds a quote of its own, so the marks cannot occur in the data.
+    Bare commas become the mark ``"s``, bare line ends ``"n``, doubled quotes
+    ``"q``, and ``"e`` opens a quoted piece; no piece holds a quote of its own,
+    so the marks cannot occur in the data. Line ends in quotes become ``<br>``.
     """
 
-    def encode(pieces, last):
+    def ends(piece, mark):
+        for end in ("\r\n", "\r", "\n"):
+            piece = F.replace(piece, F.lit(end), F.lit(mark))
+        return piece
+
+    def encode(last):
         def one(piece, i):
             doubled = (piece == "") & (i > 0) & (i < last)
             return (
-                F.when(i % 2 == 1, piece)
+                F.when(i % 2 == 1, F.concat(F.lit('"e'), ends(piece, "<br>")))
                 .when(doubled, '"q')
-                .otherwise(F.replace(piece, F.lit(","), F.lit('"s')))
+                .otherwise(F.replace(ends(piece, '"n'), F.lit(","), F.lit('"s')))
             )
 
         return F.array_join(F.transform(pieces, one), "")
 
-    encoded = bind(F.split(line, '"'), lambda p: bind(F.size(p) - 1, lambda n: encode(p, n)))
-    return F.transform(
-        F.split(encoded, '"s'),
-        lambda cell: F.replace(
-            F.replace(cell, F.lit('"q'), F.lit('"')), F.lit("|"), F.lit("\\|")
-        ),
-    )
+    lines = F.split(bind(F.size(pieces) - 1, encode), '"n')
+    return F.filter(lines, lambda line: F.trim(line) != "")
+
+
+def _csv_cells(line: Column) -> Column:
+    """Cells of an encoded line."""
+
+    def decode(cell):
+        for mark, value in (('"e', ""), ('"q', '"'), ("|", "\\|")):
+            cell = F.replace(cell, F.lit(mark), F.lit(value))
+        return cell
+
+    return F.transform(F.split(line, '"s'), decode)
 
 
-def _stray_quote(line: Column) -> Column:
+def _stray_quote(pieces: Column) -> Column:
     """True when a quote stands inside an unquoted cell."""
 
-    def found(pieces, last):
+    def found(last):
         def stray(piece, i):
-            opens = (i < last) & ~F.endswith(piece, F.lit(","))
-            closes = (i > 0) & ~F.startswith(piece, F.lit(","))
+            before, after = F.right(piece, F.lit(1)), F.left(piece, F.lit(1))
+            opens = (i < last) & ~before.isin(",", "\n", "\r")
+            closes = (i > 0) & ~after.isin(",", "\n", "\r")
             return (i % 2 == 0) & (piece != "") & (opens | closes)
 
         return F.array_contains(F.transform(pieces, stray), True)
 
-    return bind(F.split(line, '"'), lambda p: bind(F.size(p) - 1, lambda n: found(p, n)))
+    return bind(F.size(pieces) - 1, found)
 
 
 def _csv_width(lines: Column) -> Column:
-    header = F.regexp_replace(F.get(lines, F.lit(0)), r'"[^"]*"', "")
-    return F.length(header) - F.length(F.replace(header, F.lit(","), F.lit(""))) + 1
+    return F.size(F.split(F.get(lines, F.lit(0)), '"s'))
 
 
 def _csv_table(lines: Column) -> Column:
@@ -166,12 +196,11 @@ def _csv_table(lines: Column) -> Column:
     return bind(_csv_width(lines), table)
 
 
-def _csv_problem(lines: Column) -> Column:
-    open_quote = F.exists(lines, lambda line: F.size(F.split(line, '"')) % 2 == 0)
+def _csv_problem(pieces: Column) -> Column:
     return (
-        F.when(F.size(lines) == 0, "csv error: empty file")
-        .when(open_quote, "csv error: quoted field spans lines")
-        .when(F.exists(lines, _stray_quote), "csv error: quote inside an unquoted field")
+        F.when(F.size(pieces) % 2 == 0, "csv error: quoted field without end")
+        .when(_stray_quote(pieces), "csv error: quote inside an unquoted field")
+        .when(F.size(_csv_lines(pieces)) == 0, "csv error: empty file")
     )
 
 
@@ -179,13 +208,14 @@ def csv_columns(text: Column):
     """A CSV file as one Markdown table, without leaving its row.
 
     The first line is the header and sets the width: short rows are padded,
-    long rows are cut. Blank lines are skipped, ``|`` in a cell is escaped. A
-    quoted field that runs over several lines or a quote inside an unquoted
-    field is an error rather than a guess.
+    long rows are cut. Blank lines are skipped, ``|`` in a cell is escaped. Lines
+    end with LF, CR LF or CR; those in a quoted field are written as ``<br>``. A
+    quote inside an unquoted field or one that is never closed is an error
+    rather than a guess.
     """
-    lines = F.filter(F.split(text, r"\r?\n"), lambda line: F.trim(line) != "")
-    error = F.when(text.isNull(), "csv error: no text").otherwise(bind(lines, _csv_problem))
-    return bind(lines, _csv_table), error
+    pieces = F.split(without_mark(text), '"', -1)
+    error = F.when(text.isNull(), "csv error: no text").otherwise(bind(pieces, _csv_problem))
+    return bind(bind(pieces, _csv_lines), _csv_table), error
 
 
 def text_to_markdown(text: Column) -> Column:

@@ -6,7 +6,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import functions as F
 
 from ..functions.formats import csv_columns, json_columns, text_columns, xml_columns
-from ..functions.html import html_columns, html_is_closed, tagless_columns
+from ..functions.html import html_columns, tagless_columns
 
 
 @dataclass(frozen=True)
@@ -18,8 +18,8 @@ class Converter:
     ``text``, ``content`` where the source has it, and columns to pass through) to
     the same rows plus ``markdown`` and ``error``, and may use ``mapInPandas`` or a
     Pandas UDF; its rows take a branch, so one more scan, of their own. With
-    neither, the name only claims its extensions. ``accepts`` is a cheap test of the input and
-    ``secondary`` the ``(name, columns)`` tried when it fails.
+    neither, the name only claims its extensions. ``secondary`` is the ``(name, columns)``
+    tried after an error, or where ``accepts``, if given, does not hold.
     """
 
     name: str
@@ -63,18 +63,21 @@ class ConverterRegistry:
         ]
 
     def support(self, spark):
-        """The registry as a small table (ext, engine, rank)."""
+        """The registry as a small table (ext, engine, rank, place), by order of registration."""
         rows = [
-            F.struct(F.lit(ext).alias("ext"), F.lit(engine).alias("engine"), F.lit(rank).alias("rank"))
-            for ext, engine, rank in self.support_rows()
+            F.struct(F.lit(ext).alias("ext"), F.lit(engine).alias("engine"), F.lit(rank).alias("rank"), F.lit(place).alias("place"))
+            for place, (ext, engine, rank) in enumerate(self.support_rows())
         ]
         return spark.range(1).select(F.inline(F.array(*rows)))
 
     def engine_of(self, ext):
-        """The lookup of ``support`` as an expression over an extension column."""
+        """The lookup of ``support`` as an expression over an extension column.
+
+        Of equal ranks the converter registered first has the extension.
+        """
         best = {}
         for known, name, rank in self.support_rows():
-            if known not in best or (rank, name) < best[known]:
+            if known not in best or rank < best[known][0]:
                 best[known] = (rank, name)
         extension, engine = F.lower(ext), F.lit(None).cast("string")
         for name in self.list_converters():
@@ -95,7 +98,7 @@ def default_registry() -> ConverterRegistry:
     registry.add(
         Converter(
             "html", (".html", ".htm"), rank=10, columns=html_columns,
-            accepts=html_is_closed, secondary=("text", tagless_columns),
+            secondary=("text", tagless_columns),
         )
     )
     registry.add(Converter("csv", (".csv",), rank=10, columns=csv_columns))

@@ -24,14 +24,16 @@ def route_engine(requested: Column, default: str, by_extension: Column) -> Colum
 def engine_for_extension(df: DataFrame, support: DataFrame, ext="ext") -> DataFrame:
     """Add ``engine``: the supporting converter of lowest rank, or null.
 
-    ``support`` has one row per (ext, engine, rank). It is reduced to one row
+    ``support`` has one row per (ext, engine, rank); of equal ranks the smallest
+    ``place`` wins, where there is one, then the first by name. It is reduced to one row
     per extension first, so the document side is not grouped. The reduced side
     is measured and broadcast if small, so documents do not move and a common
     extension is no hot key. Past the limit it is stored, which leaves a plain
     shuffle join where adaptive execution can split such a key.
     """
+    order = ["rank", *[c for c in ("place",) if c in support.columns], "engine"]
     best = support.groupBy(F.lower("ext").alias("_ext")).agg(
-        F.min_by("engine", F.struct("rank", "engine")).alias("engine")
+        F.min_by("engine", F.struct(*order)).alias("engine")
     )
     if measured_bytes(best) <= BROADCAST_BYTES:
         best = F.broadcast(best)

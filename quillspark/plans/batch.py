@@ -27,11 +27,15 @@ def _test_of(converter):
     return f"_accepted_by_{converter.name}"
 
 
+def _accepted(converter):
+    return F.col(_test_of(converter)) if converter.accepts else F.lit(True)
+
+
 def _conversion_of(converter, text):
     if converter.secondary is None:
         return single_conversion(converter.name, converter.columns, text)
     return fallback_conversion(
-        (converter.name, converter.columns), converter.secondary, F.col(_test_of(converter)), text
+        (converter.name, converter.columns), converter.secondary, _accepted(converter), text
     )
 
 
@@ -42,7 +46,7 @@ def _convert_columns(docs: DataFrame, converters) -> DataFrame:
     tests = {
         _test_of(c): F.when(F.col("_engine") == c.name, c.accepts(F.col("text")))
         for c in converters
-        if c.secondary
+        if c.secondary and c.accepts
     }
     docs = docs.withColumns(tests) if tests else docs
     engine, fallback = F.col("_engine"), F.lit(False)

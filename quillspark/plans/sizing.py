@@ -1,6 +1,4 @@
-"""Size checks before data is broadcast or spread."""
-
-from urllib.parse import unquote
+"""Size checks before data is broadcast."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,22 +22,3 @@ def measured_bytes(df: DataFrame) -> int:
 def broadcast_if_small(df: DataFrame, max_bytes=BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast when the measured size allows; else leave it to a shuffle."""
     return F.broadcast(df) if measured_bytes(df) <= max_bytes else df
-
-
-def spread_small(df: DataFrame, key: str, below_bytes=512 * MIB) -> DataFrame:
-    """Give a small input that sits in few files enough partitions to work on.
-
-    A file with one row group is one task however costly its rows are. Large or
-    many-file inputs have tasks enough and are returned as they are, without a
-    shuffle. ``key`` should be unique.
-    """
-    spark = df.sparkSession
-    wanted = spark.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if not files or len(files) >= wanted:
-        return df
-    paths = [unquote(file) for file in files]
-    lengths = spark.read.format("binaryFile").load(paths).select("length")
-    if (lengths.agg(F.sum("length")).first()[0] or 0) > below_bytes:
-        return df
-    return df.repartition(wanted, key)

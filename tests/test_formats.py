@@ -32,7 +32,7 @@ def test_csv_rules(spark):
         (None, "csv error: no text"),
         ("", "csv error: empty file"),
         (" \n\n", "csv error: empty file"),
-        ('a\n"x\ny"\n', "csv error: quoted field spans lines"),
+        ('a\n"x\ny\n', "csv error: quoted field without end"),
         ('a,b\nx "y",2', "csv error: quote inside an unquoted field"),
     ],
 )
@@ -41,13 +41,31 @@ def test_csv_errors(spark, text, error):
     assert (got["markdown"], got["error"]) == (None, error)
 
 
+def test_csv_as_spreadsheets_write_it(spark):
+    texts = [
+        '\ufeffa,b\r\n1,2\r\n',
+        'a,b\r1,2\r',
+        'a,b\n"x\r\ny, z",2\n',
+        'a\n""\n\n" "\n""""\n',
+        '"a,\nb",c\n1,"2"\r\n"3",4',
+    ]
+    got = [r["markdown"] for r in column_values(spark, texts, formats.csv_to_markdown)]
+    assert got == [
+        "| a | b |\n| --- | --- |\n| 1 | 2 |",
+        "| a | b |\n| --- | --- |\n| 1 | 2 |",
+        "| a | b |\n| --- | --- |\n| x<br>y, z | 2 |",
+        '| a |\n| --- |\n|  |\n|   |\n| " |',
+        "| a,<br>b | c |\n| --- | --- |\n| 1 | 2 |\n| 3 | 4 |",
+    ]
+
+
 def test_csv_width_has_no_limit(spark):
     text = ",".join(f"c{i}" for i in range(700)) + "\n" + ",".join("x" * 700)
     lines = column_values(spark, [text], formats.csv_to_markdown)[0]["markdown"].split("\n")
     assert lines[0].endswith("| c699 |") and lines[2].count("x") == 700
 
 
-_cell = st.text(st.characters(blacklist_categories=["Cs", "Cc"]), max_size=6)
+_cell = st.text(st.one_of(st.characters(blacklist_categories=["Cs", "Cc"]), st.sampled_from('\n",|')), max_size=6)
 _table = st.lists(st.lists(_cell, min_size=2, max_size=5), min_size=1, max_size=5)
 
 
@@ -60,7 +78,7 @@ def test_csv_agrees_with_a_csv_reader(spark, tables):
         csv.writer(out, quoting=csv.QUOTE_ALL, lineterminator="\n").writerows(table)
         texts.append(out.getvalue())
         width = len(table[0])
-        rows = [[c.replace("|", "\\|") for c in (r + [""] * width)[:width]] for r in table]
+        rows = [[c.replace("|", "\\|").replace("\n", "<br>") for c in (r + [""] * width)[:width]] for r in table]
         rows.insert(1, ["---"] * width)
         expected.append("\n".join("| " + " | ".join(r) + " |" for r in rows))
     got = column_values(spark, texts, formats.csv_to_markdown)
@@ -115,11 +133,15 @@ GOOD_XML = [
     "<a><![CDATA[</x> & <]]></a>",
     "<a><a>1</a><a>2</a></a>",
     "<x:a xmlns:x='u'><x:b/></x:a>",
+    '<!DOCTYPE a [<!ENTITY who "me">]><a>&who; &amp; you</a>',
+    '<!DOCTYPE a SYSTEM "a.dtd" [<!ELEMENT a EMPTY>]><a/>',
+    '<?xml version="1.0"?><!DOCTYPE a><a><b/></a>',
 ]
 BAD_XML = [
     "<a><b>1", "plain", "<a x=1></a>", "<a>&foo;</a>", "", "  ", "<a><c></a></c>", "<p>x<br>y</p>",
     "<a>1</a>more", "<a/><b/>", "<a>1</a><b>2</b>", "<a/><b></b>", "<a></a><b/>", "<a/>more", None,
-    "<a>1</a><a>2</a>", "<a/>x/>", "more<a>1</a>",
+    "<a>1</a><a>2</a>", "<a/>x/>", "more<a>1</a>", "<!DOCTYPE a []><a>&who;</a>",
+    '<!DOCTYPE a [<!ENTITY who "me">]><a>&who;</b>',
 ]
 
 
@@ -130,6 +152,13 @@ def test_xml(spark):
     assert [r["markdown"] for r in got[: len(GOOD_XML)]] == GOOD_XML
 
 
+def test_byte_order_marks(spark):
+    got = column_values(spark, ["\ufeff<a/>", "\ufeff"], formats.xml_to_markdown)
+    assert [r["error"] for r in got] == [None, "xml error: not well-formed"]
+    got = column_values(spark, ["\ufeffhi".encode(), "hi\ufeff".encode()], formats.decode_text, "binary")
+    assert [r["text"] for r in got] == ["hi", "hi\ufeff"]
+
+
 def test_text_and_bytes(spark):
     contents = ["é".encode(), b"\xffA", b"", None]
     got = column_values(spark, contents, formats.decode_text, "binary")

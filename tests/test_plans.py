@@ -8,7 +8,6 @@ from quillspark.operators.matching import missing_files
 from quillspark.operators.parts import slice_parts
 from quillspark.operators.report import status_report
 from quillspark.plans.batch import convert_batch
-from quillspark.plans.sizing import spread_small
 
 from .helpers import plan_of
 
@@ -49,13 +48,3 @@ def test_the_existence_check_reads_the_key_only(spark, sf_dir):
     docs = inputs.table(spark, sf_dir, "documents").select("doc_id", "lang")
     plan = plan_of(missing_files(docs, inputs.table(spark, sf_dir, "labels"), "doc_id"))
     assert "ReadSchema: struct<doc_id:bigint>" in plan
-
-
-def test_only_small_inputs_in_few_files_are_spread(spark, folder):
-    few, many = f"{folder}/few é 1", f"{folder}/many"
-    spark.range(100).coalesce(1).write.parquet(few)
-    spark.range(100).repartition(8).write.parquet(many)
-    assert spread_small(spark.read.parquet(few), "id").rdd.getNumPartitions() == 4
-    assert "Exchange" not in plan_of(spread_small(spark.read.parquet(few), "id", below_bytes=10))
-    assert "Exchange" not in plan_of(spread_small(spark.read.parquet(many), "id"))
-    assert "Exchange" not in plan_of(spread_small(spark.range(10), "id"))
