@@ -11,6 +11,7 @@ K = 20
 BLOCK = 16384  # candidates of one cell
 QUERY_BLOCK = 1024  # queries of one cell
 SEED = 42
+SLACK = 1e-11  # of the product of two norms
 ERROR = 3.0  # error bounds of an estimate, in standard deviations
 
 
@@ -28,10 +29,10 @@ def encode(vectors):
     return np.packbits(turned > 0, axis=1, bitorder="little"), norm, np.abs(turned).sum(1) / np.sqrt(dim)
 
 
-def exact(columns, query):
+def exact(vectors, query):
     """Inner products in double precision, added up in the order of the components."""
-    total = np.zeros(columns.shape[1])
-    for column, q in zip(columns, query):
+    total = np.zeros(len(vectors))
+    for column, q in zip(vectors.T, query):
         total += column * q
     return total
 
@@ -41,28 +42,37 @@ def search_block(queries, query_ids, ids, codes, norm, correction, vectors, k=K)
 
     The estimate of an inner product needs the packed bits and two scalars only.
     The ``4 k`` best by estimate are measured; the k-th of them is a floor, and
-    all whose upper bound reaches it are measured too.
+    all whose upper bound reaches it are measured too. Products in any order of
+    addition, which are quick, tell those that may be among the ``k``; their
+    scores are then added up in the order of the components. ``SLACK`` is far
+    more than both can differ by.
     """
     dim, lot = queries.shape[1], 128
     signs = np.unpackbits(codes, axis=1, bitorder="little")[:, :dim].astype(np.float32) * 2 - 1
     error = np.sqrt(np.maximum(1 - correction**2, 0)) / correction * ERROR / np.sqrt(max(dim - 1, 1)) * norm
-    scale, columns, turn = norm / correction / np.sqrt(dim), np.ascontiguousarray(vectors.T), rotation(dim)
+    scale, turn, largest = norm / correction / np.sqrt(dim), rotation(dim), norm.max(initial=0.0)
+    scale, error = scale.astype(np.float32), error.astype(np.float32)
     for begin in range(0, len(queries), lot):
         some = queries[begin : begin + lot]
         estimates = ((some @ turn.T).astype(np.float32) @ signs.T) * scale
         for query, query_id, estimate in zip(some, query_ids[begin : begin + lot], estimates):
-            others = ids != query_id
-            estimate[~others] = -np.inf
-            chosen = np.flatnonzero(others)
-            if len(chosen) > 4 * k:
-                first = np.argpartition(-estimate, 4 * k - 1)[: 4 * k]
-                floor = np.sort(exact(columns[:, first], query))[-k]
-                bound = estimate + error * np.linalg.norm(query)
-                chosen = np.union1d(np.flatnonzero(bound >= floor), first)
-            scores = exact(columns[:, chosen], query)
+            own = np.flatnonzero(ids == query_id)
+            estimate[own] = -np.inf
+            length = float(np.linalg.norm(query))
+            slack = SLACK * length * largest
+            if len(ids) - len(own) > 4 * k:
+                first = np.argpartition(estimate, len(estimate) - 4 * k)[-4 * k :]
+                floor = np.partition(vectors[first] @ query, 3 * k)[3 * k] - slack
+                reach = estimate + error * np.float32(length) >= floor
+                reach[first] = True
+            else:
+                reach = np.ones(len(ids), bool)
+            reach[own] = False
+            chosen = np.flatnonzero(reach)
             if len(chosen) > k:
-                near = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
-                chosen, scores = chosen[near], scores[near]
+                quick = vectors[chosen] @ query
+                chosen = chosen[quick >= np.partition(quick, len(quick) - k)[len(quick) - k] - slack]
+            scores = exact(vectors[chosen], query)
             order = np.lexsort((ids[chosen], -scores))[:k]
             yield chosen[order], scores[order]
 
@@ -107,20 +117,19 @@ def nearest(vectors, is_query, key="vec_id", column="embedding", k=K, block=BLOC
     def cell(qs, cs):
         import pandas as pd
 
-        out = []
+        ends, at, scores = [], [np.zeros(0, np.int64)], [np.zeros(0)]
+        ids = cs["id"].to_numpy(np.int64)
         if len(qs) and len(cs):
             dim = int(cs["dim"].iloc[0])
-            ids = cs["id"].to_numpy()
             codes = np.frombuffer(b"".join(cs["code"]), np.uint8).reshape(len(cs), -1)
             matrix = np.frombuffer(b"".join(cs["v"]), "<f8").reshape(-1, dim)
-            norm, fit = cs["norm"].to_numpy(), cs["fit"].to_numpy()
             queries = np.array([np.asarray(x, float) for x in qs["v"]])
-            found = search_block(queries, qs["id"].to_numpy(), ids, codes, norm, fit, matrix, k)
-            for q, row, (at, scores) in zip(qs["id"], qs["row"], found):
-                out.append(pd.DataFrame({"query_id": q, "row": row, "vec_id": ids[at], "score": scores}))
-        if not out:
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "row": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        return pd.concat(out)
+            for near, score in search_block(queries, qs["id"].to_numpy(), ids, codes, cs["norm"].to_numpy(), cs["fit"].to_numpy(), matrix, k):
+                ends.append(len(near))
+                at.append(near)
+                scores.append(score)
+        asked = qs.iloc[np.repeat(np.arange(len(ends)), np.array(ends, np.int64))]
+        return pd.DataFrame({"query_id": asked["id"].to_numpy(np.int64), "row": asked["row"].to_numpy(np.int64), "vec_id": ids[np.concatenate(at)], "score": np.concatenate(scores)})
 
     cells = queries.groupBy("dim", "qb", "cb").cogroup(candidates.groupBy("dim", "qb", "cb"))
     found = cells.applyInPandas(cell, "query_id long, row long, vec_id long, score double")
