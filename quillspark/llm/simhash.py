@@ -171,6 +171,16 @@ def near_duplicates(docs, key="doc_id", text="text", bucket=BUCKET):
     return rows.join(classed, "fp").select(F.col("k").alias(key), "fp", "text_hash", "component_id")
 
 
+def one_row_each(docs, kept, key="doc_id", text="text"):
+    """The rows of ``docs`` that ``kept`` names by ``_key, _hash``, one for each; ``_rows`` is how many there are."""
+    mine = F.col("_key").eqNullSafe(docs[key]) & (F.col("_hash") == F.xxhash64(docs[text]))
+    again = settle(kept.filter("_rows > 1").drop("_rows"))
+    if again.isEmpty():
+        return docs.join(kept, mine, "left_semi")
+    once = docs.join(kept.filter("_rows = 1"), mine, "left_semi")
+    return once.unionByName(docs.join(again, mine, "left_semi").dropDuplicates([key, text]))
+
+
 def keep_one(docs, key="doc_id", text="text"):
     """One document of each component stays: that with the smallest key.
 
@@ -183,9 +193,4 @@ def keep_one(docs, key="doc_id", text="text"):
         .groupBy(F.col(key).alias("_key"), F.col("text_hash").alias("_hash"))
         .agg(F.count("*").alias("_rows"))
     )
-    mine = F.col("_key").eqNullSafe(docs[key]) & (F.col("_hash") == F.xxhash64(docs[text]))
-    again = settle(kept.filter("_rows > 1").drop("_rows"))
-    if again.isEmpty():
-        return docs.join(kept, mine, "left_semi")
-    once = docs.join(kept.filter("_rows = 1"), mine, "left_semi")
-    return once.unionByName(docs.join(again, mine, "left_semi").dropDuplicates([key, text]))
+    return one_row_each(docs, kept, key, text)

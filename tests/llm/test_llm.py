@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import counts, decontaminate, language, neighbours, pieces, quality, sentencepieces, simhash, tokens, toxicity, warc
+from quillspark.llm import counts, decontaminate, language, nearcopies, neighbours, pieces, quality, sentencepieces, simhash, tokens, toxicity, warc
 from quillspark.llm.catalog import tokenizer_path
 
 RNG = random.Random(7)
@@ -172,6 +172,51 @@ def test_links_join_all_within_two_bits(spark, bucket):
     assert len(set(zip(plain, ours))) == len(set(plain)) == len(set(ours))
 
 
+def test_near_copies_of_five_words(spark, monkeypatch):
+    """Against all pairs: planted copies at both sides of 0.8, one large group, odd rows."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(5000)}"
+    texts = [" ".join(word() for _ in range(rng.randint(30, 150))) for _ in range(60)]
+    for i in range(60):
+        words = texts[i].split()
+        for at in rng.sample(range(len(words)), rng.randint(1, 3)):
+            words[at] = word()
+        texts.append(" ".join(words))
+    base = [word() for _ in range(110)]
+    for _ in range(60):
+        copy = list(base)
+        copy[rng.randrange(110)] = word()
+        texts.append(" ".join(copy))
+    texts += [None, "", " ", "one two", "ONE  two", "one three", texts[0], texts[70]]
+    order = rng.sample(range(len(texts)), len(texts))
+    rows = [(1000 + i, texts[t]) for i, t in enumerate(order)]
+    sets = [nearcopies.shingles_of(t and t.encode()) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if either == both or both / either >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    expected = [rows[i] for i in range(len(rows)) if find(i) == i]
+    assert 60 < len(expected) < len(rows) - 60
+    df = spark.createDataFrame(rows + rows[:3] + [(None, rows[5][1])], "doc_id long, text string").repartition(3)
+    for rounds, pairs_left in ((6, 2), (2, 0)):
+        monkeypatch.setattr(nearcopies, "STARS", rounds)
+        monkeypatch.setattr(nearcopies, "PAIRS", pairs_left)
+        kept = corpus_pipeline.drop_near_copies(spark, df, None)
+        assert sorted(pairs(kept)) == sorted(expected)
+    assert nearcopies.keep_one(empty(df)).count() == 0
+
+
 # 4 token files
 
 
