@@ -25,8 +25,11 @@ TOXIC_DOCS, CLEAN_DOCS = 2_500, 7_500
 EVIDENCE = 9.0  # of a first word, as the negative logarithm of its chance
 LANDMARKS = 256
 SPREAD = 600  # words that landmarks are chosen from
-WORDS = 1_500  # words of either class in one fit
+WORDS = 1_500  # words of either class in one of the first fits, which find toxic words and landmarks
 ROUNDS = 3
+STEPS = 12  # of the last fit, which takes all clean words
+CLEAN_SIDE = 10.0  # weight of all clean words together in the last fit, against the toxic ones
+HELD = 5  # one text in so many is held back from the words to set the line of scores
 RIDGE = 1e-5
 DECAY = 0.6
 LONGEST = 18  # longer words are read in overlapping windows of this length
@@ -175,10 +178,37 @@ class KernelMachine:
             if (now == active).all():
                 break
             active = now
-        # The decision is linear in subsequence weights, so one table holds it.
+        self.take(w)
+
+    def take(self, w):
+        """The decision is linear in subsequence weights, so one table holds it."""
         self.bias, self.weights = float(w[-1]), (self.table @ (self.map @ w[:-1])).astype(np.float32)[self.column]
+
+    def slim(self):
+        """What only a fit needs is let go."""
         del self.table, self.column, self.map
 
+    def sums(self, words, y, weight):
+        """Matrix and vector of a Newton step over the windows of words inside the margin.
+
+        Every window of a clean word is to be clean; of a toxic one the worst counts.
+        """
+        size = self.map.shape[1] + 1
+        a, b, active = np.zeros((size, size)), np.zeros(size), 0
+        worst = self.decide(words)
+        for at, matrix in _grouped(words):
+            t, span = _subsequences(matrix)
+            norms = _norms(matrix)
+            d = (self.weights[t] @ span) / norms + self.bias
+            inside = np.flatnonzero((y[at] * d < 1) & ((y[at] < 0) | (d >= worst[at] - 1e-4)))
+            for s in range(0, len(inside), 50):
+                some = inside[s : s + 50]
+                k = np.matmul(span[None, None, :], self.table[self.column[t[some]]])[:, 0] / norms[some, None]
+                x = np.hstack([k @ self.map, np.ones((len(some), 1))])
+                xw = x * weight[at[some], None]
+                a, b, active = a + xw.T @ x, b + xw.T @ y[at[some]], active + len(some)
+        return a, b, active
+
     def decide(self, words):
         """Decision of each word, that of its worst window if it is long."""
         out = np.full(len(words), -np.inf, np.float32)
@@ -188,6 +218,44 @@ class KernelMachine:
         return np.where(np.isfinite(out), out, 0.0) + self.bias
 
 
+def fit_all(machine, words, ridge=RIDGE):
+    """Newton steps over all of ``words`` (word, y, n), whose sums are added up in Spark tasks.
+
+    A clean word weighs as often as it was seen, so common ones are seldom misjudged.
+    """
+    total = {r["y"]: (r["n"], r["w"]) for r in words.groupBy("y").agg(F.count("*").alias("n"), F.sum(F.when(F.col("y") > 0, F.log1p("n")).otherwise(F.col("n"))).alias("w")).collect()}
+    count = sum(n for n, _ in total.values())
+    share = {1: count / (1 + CLEAN_SIDE) / total[1][1], -1: count * CLEAN_SIDE / (1 + CLEAN_SIDE) / total[-1][1]}
+    spark, before = words.sparkSession, None
+    for _ in range(STEPS):
+        shared = spark.sparkContext.broadcast(machine)
+
+        def each(batches, shared=shared):
+            import pyarrow as pa
+
+            a, b, active = 0.0, 0.0, 0
+            for lot in lots(batches, 4096):
+                y = lot.column(1).to_numpy().astype(float)
+                n = lot.column(2).to_numpy()
+                weight = np.where(y > 0, np.log1p(n) * share[1], n * share[-1])
+                some = shared.value.sums(lot.column(0).to_pylist(), y, weight)
+                a, b, active = a + some[0], b + some[1], active + some[2]
+            if active:
+                yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()]), pa.array([b.tobytes()]), pa.array([active], pa.int64())], ["a", "b", "active"])
+
+        rows = words.select("word", "y", "n").mapInArrow(each, "a binary, b binary, active long").collect()
+        shared.unpersist()
+        now = sum(r["active"] for r in rows)
+        if not rows or now == before:
+            break
+        size = machine.map.shape[1] + 1
+        eye = np.eye(size) * ridge * count
+        eye[-1, -1] = 1e-6
+        a = sum(np.frombuffer(r["a"]) for r in rows).reshape(size, size)
+        machine.take(np.linalg.solve(a + eye, sum(np.frombuffer(r["b"]) for r in rows)))
+        before = now
+
+
 class ToxicityModel:
     """A machine, and a line from a document's worst decision to its score."""
 
@@ -237,7 +305,7 @@ def word_counts(sample):
                 spells = [spelled(w) for w in (text or "").lower().split()]
                 seen = {(w, zlib.crc32(f"{a} {w} {b}".encode())) for w, a, b in zip(spells, [""] + spells[:-1], spells[1:] + [""])}
                 mark = min((h for _, h in seen), default=0)
-                out += [(w, h, y, mark) for w, h in seen if 1 < len(w) <= LONGEST - 2]
+                out += [(w, h, y, mark) for w, h in seen if len(w) > 1]
             cols = list(zip(*out)) if out else [[]] * 4
             types = (pa.string(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], ["word", "around", "label", "mark"])
@@ -265,20 +333,30 @@ def _spread(words, count):
     return [words[i] for i in taken]
 
 
+def spread_over(spark):
+    return max(spark.sparkContext.defaultParallelism, 2)
+
+
 def train_toxicity(docs, labels, learn=None, key="doc_id", text="text", label="toxic", most=(CLEAN_DOCS, TOXIC_DOCS)):
     """Fit on at most ``most`` labelled documents of the classes 0 and 1.
 
     Labels are given for documents; which words make a sentence toxic is learned
     in rounds: the first machine takes words that stand in many surroundings of
     toxic documents and in none of clean ones, later ones add the clean words it
-    scores highest and the words of toxic documents it agrees on. The driver gets
-    bounded lists of words. With one class alone every score is that class.
+    scores highest and the words of toxic documents it agrees on. The last fit
+    takes all clean words of the sample, whose sums are added up in tasks; the line
+    from decisions to scores is set on texts held back from all of these. The driver
+    gets bounded lists of words. With one class alone every score is that class.
     """
     sample = labelled_texts(docs, labels, label, key, text, F.lit(True) if learn is None else learn, most)
     present = {r["label"] for r in sample.select("label").distinct().collect()}
     if len(present) < 2:
         return ToxicityModel(constant=0.0 if not present else float(min(present)))
-    counts = settle(word_counts(sample))
+    back = F.pmod(F.xxhash64("text"), F.lit(HELD)) == 0
+    held, taught = sample.filter(back), sample.filter(~back)
+    if min(df.select("label").distinct().count() for df in (held, taught)) < 2:
+        held = taught = sample
+    counts = settle(word_counts(taught))
     total = counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
     toxic, clean = float(total["t"] or 0), float(total["c"] or 0)
     share = (toxic + 1) / (toxic + clean + 2)
@@ -319,6 +397,10 @@ def train_toxicity(docs, labels, learn=None, key="doc_id", text="text", label="t
         seen = settle(rated.withColumn("d", decide("word")))
         hard = list(dict.fromkeys(top(seen.filter("clean > 0 and odds < 1"), F.desc("d")) + hard))
         bad = list(dict.fromkeys(bad + top(seen.filter("clean = 0 and toxic > 0 and evidence > 2 and d > 0.5"), F.desc("d"))))
+    marked = F.when(F.col("word").isin(bad), 1).when(F.expr("clean > 0 and odds < 1"), -1)
+    words = rated.select("word", marked.alias("y"), (F.col("toxic") + F.col("clean")).alias("n")).filter("y is not null")
+    fit_all(machine, settle(words.repartition(spread_over(docs.sparkSession))))
+    machine.slim()
     model = ToxicityModel(machine)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -328,7 +410,7 @@ def train_toxicity(docs, labels, learn=None, key="doc_id", text="text", label="t
         for lot in lots(batches):
             yield pa.RecordBatch.from_arrays([lot.column(0), pa.array(shared.value.worst(texts_of(lot.column(1))))], ["label", "d"])
 
-    rows = sample.mapInArrow(each, "label int, d double").collect()
+    rows = held.mapInArrow(each, "label int, d double").collect()
     model.slope, model.offset = _line(np.array([r["d"] for r in rows]), np.array([r["label"] for r in rows], float))
     return model
 
@@ -345,7 +427,22 @@ def _line(d, y):
         w = w - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
-    return float(w[0]), float(w[1])
+    slope = max(float(w[0]), 1e-3)
+    return slope, -slope * _cut(d, y)
+
+
+def _cut(d, y):
+    """The decision between the classes that misjudges the smallest shares of both together."""
+    order = np.argsort(d, kind="stable")
+    d, y = d[order], y[order]
+    missed = np.concatenate([[0], np.cumsum(y)]) / max(y.sum(), 1)
+    called = 1 - np.concatenate([[0], np.cumsum(1 - y)]) / max((1 - y).sum(), 1)
+    edges = np.concatenate([[d[0] - 1], d, [d[-1] + 1]])
+    wide = edges[1:] > edges[:-1]
+    loss = np.where(wide, missed + called, np.inf)
+    best = np.flatnonzero(loss <= loss.min() + 1e-12)
+    best = best[np.argmax(edges[best + 1] - edges[best])]
+    return float((edges[best] + edges[best + 1]) / 2)
 
 
 def score_toxicity(docs, model, key="doc_id", text="text"):

@@ -338,6 +338,21 @@ def test_toxicity_learns_and_tolerates_gaps(spark, docs):
     assert set(none.scores(["x", None])) == {0.0}
 
 
+def test_last_toxicity_fit_takes_all_clean_words(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice(["ka", "lo", "mi", "ran", "tes"]) for _ in range(rng.randint(1, 4)))
+    long = "kalomirantes" * 2
+    rows = [(i, " ".join([word() for _ in range(9)] + ["scumbag"] * (i % 4 == 0) + [word() for _ in range(9)] + [long]), int(i % 4 == 0)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    seen, fit_all = [], toxicity.fit_all
+    monkeypatch.setattr(toxicity, "WORDS", 20)
+    monkeypatch.setattr(toxicity, "fit_all", lambda machine, words: (seen.extend(words.collect()), fit_all(machine, words)))
+    model = toxicity.train_toxicity(df.drop("toxic"), df.select("doc_id", "toxic"))
+    clean = {r["word"] for r in seen if r["y"] < 0}
+    assert len(clean) > 100 and long in clean
+    assert list(model.scores([long, "kalo " + long, "kalo scumbag"]) >= 0.5) == [False, False, True]
+
+
 # 8 language
 
 
