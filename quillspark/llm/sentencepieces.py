@@ -76,15 +76,17 @@ def _coder(state, pieces):
     return state.get("coder") or state.setdefault("coder", PieceCoder(Vocabulary(pieces)))
 
 
-def encode_pieces(docs, pieces, key="doc_id", text="text"):
-    """``key, ids array<int>`` of every row, from its whole text.
+def encode_pieces(docs, pieces, key="doc_id", text="text", compare=False):
+    """``key, ids array<int>`` of every row, from its whole text; with ``compare`` also ``same``.
+
+    ``same`` tells whether the ids, decoded in the same pass, give the text back.
 
     Null and empty texts have no ids. Line breaks and characters that are no
     piece, the space sign U+2581 among them, are spelled in byte pieces, so
     decoding gives every text back. Repeated rows stay; an empty table gives no
     rows; other columns are not read and no text is moved.
     """
-    schema = T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("same", T.BooleanType())] * compare)
     shared, state = docs.sparkSession.sparkContext.broadcast(pieces), {}
 
     def each(batches):
@@ -92,11 +94,14 @@ def encode_pieces(docs, pieces, key="doc_id", text="text"):
 
         coder = _coder(state, shared.value)
         for lot in lots(batches):
-            ids = [x.astype(np.int32) for x in coder.encode([t or "" for t in texts_of(lot.column(1))])]
+            texts = [t or "" for t in texts_of(lot.column(1))]
+            ids = list(coder.encode(texts))
+            same = [pa.array([coder.decode(x) == t for x, t in zip(ids, texts)], pa.bool_())] if compare else []
+            ids = [x.astype(np.int32) for x in ids]
             flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
             ends = np.cumsum([0] + [len(x) for x in ids])
             column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([lot.column(0), column], ["k", "ids"])
+            yield pa.RecordBatch.from_arrays([lot.column(0), column, *same], schema.names)
 
     return docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("b")).mapInArrow(each, schema).withColumnRenamed("k", key)
 

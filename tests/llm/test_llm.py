@@ -287,6 +287,13 @@ def test_counts_and_pieces_agree_with_plain_search(spark, docs, vocabulary):
     assert sentencepieces.encode_pieces(empty(docs), vocabulary).count() == 0
 
 
+def test_pipeline_ids_are_decoded_and_compared(spark, docs):
+    import corpus_pipeline
+
+    found = corpus_pipeline.encode(spark, docs, None).collect()
+    assert len(found) == docs.count() and all(r["same"] and r["n_ids"] == len(r["ids"]) for r in found)
+
+
 def test_small_trie_counts_the_same(vocabulary):
     v = pieces.Vocabulary(vocabulary)
     texts = [text(50) for _ in range(20)]
