@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import counts, decontaminate, language, neighbours, pieces, quality, sentencepieces, simhash, tokens, toxicity, warc
+from . import counts, decontaminate, language, neighbours, pieces, prefixtrie, quality, sentencepieces, simhash, tokens, toxicity, variants, vectorcopies, warc
 from .common import fold
 from .oracles import ORACLES
 
@@ -80,12 +80,28 @@ def op7_sentencepiece(spark, sf_dir):
     return sentencepieces.round_trip(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op11_prefix_trie(spark, sf_dir):
+    """A row per node of the trie of rebuilt conversations; nulls, ties and empty tables as ``prefix_trie`` states."""
+    return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_vector_copies(spark, sf_dir):
+    """A row per vector with its links and component; a row of null id is not kept."""
+    found = vectorcopies.near_vectors(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def op13_variants(spark, sf_dir):
+    """A row per word with its form and root; nulls, ties and empty tables as ``spelling_variants`` states."""
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_ALL = (op1_warc, op2_quality, op3_simhash, op4_tokens, op5_token_counts, op6_toxicity, op7_sentencepiece, op8_language, op9_decontaminate, op10_neighbours, pipeline)
+_ALL = (op1_warc, op2_quality, op3_simhash, op4_tokens, op5_token_counts, op6_toxicity, op7_sentencepiece, op8_language, op9_decontaminate, op10_neighbours, op11_prefix_trie, op12_vector_copies, op13_variants, pipeline)
 QUERIES = {f.__name__: f for f in _ALL}
 __all__ = ["ORACLES", "QUERIES"]
