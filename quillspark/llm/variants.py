@@ -14,7 +14,7 @@ LEAST_COUNT = 3
 RATIO = 2  # a form occurs at least so many times as often as the word
 NOISE = 97
 END = "$"  # marks the end of a word; no word holds it
-# Longer words are keyed by digests of their rotations, which would be quadratic in text.
+# Longer rotations are keyed by digests, as their texts would be quadratic in the word.
 LONG = 64
 # Different words a task counts before it hands its counts on.
 HELD = 200_000
@@ -77,7 +77,8 @@ def rotations(word):
     shorter word, so only that place may stand for an inserted letter.
     """
     n = len(word)
-    key = (lambda x, y: word[y:] + END + word[:x]) if n <= LONG else _digests(word)
+    digest = _digests(word) if n > LONG else None
+    key = lambda x, y: word[y:] + END + word[:x] if x + n - y <= LONG else digest(x, y)
     for i in range(n + 1):
         yield key(i, i), "", True
     for i in range(n):
