@@ -7,6 +7,7 @@ from .functions.names import file_parts, output_location, safe_name, url_path
 from .functions.options import normalize_choice, normalize_lang
 from .operators.collisions import resolve_collisions
 from .operators.fallback import convert_with_fallback
+from .operators.guarded import guarded_frame
 from .operators.matching import match_requests, missing_files
 from .operators.options import resolve_options, validate_requests
 from .operators.parts import assemble_parts, slice_parts
@@ -16,6 +17,7 @@ from .operators.registry import (
     default_registry,
     list_converters,
     register_converter,
+    register_function,
 )
 from .operators.report import batch_summary, status_report
 from .operators.routing import engine_for_extension, route_engine

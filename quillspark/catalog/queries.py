@@ -298,6 +298,28 @@ def q_register_converter(spark, sf_dir):
     return results.select("file", "status", "engine", "markdown")
 
 
+def _bracketed(pdf):
+    """A parser that can't read documents of odd length."""
+    if any(len(text) % 2 for text in pdf["text"]):
+        raise ValueError("odd length")
+    return "[" + pdf["text"] + "]"
+
+
+def q_fallback_plugin(spark, sf_dir):
+    registry = default_registry()
+    registry.register_function("pdf", [".pdf"], _bracketed, rank=0, fallback="text")
+    registry.register_function("office", [".docx"], _bracketed, fallback="json")
+    results = _mixed(spark, sf_dir, registry=registry, collisions=False)
+    return results.select("file", "status", "engine", "output_path", "fallback", _joined().alias("reasons"), "error_kind", "markdown")
+
+
+def q_guarded_plugin(spark, sf_dir):
+    registry = default_registry()
+    registry.register_function("shout", [".docx", ".txt"], _bracketed, rank=1)
+    results = _mixed(spark, sf_dir, registry=registry, collisions=False)
+    return results.select("file", "status", "engine", "fallback", _joined().alias("reasons"), "markdown")
+
+
 def q_stream_inbox(spark, sf_dir):
     schema = inputs.table(spark, sf_dir, "pages").schema
     stream = (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.formats import csv_columns, json_columns, text_columns, xml_columns
 from ..functions.html import html_columns, tagless_columns
+from .guarded import guarded_frame
 
 
 @dataclass(frozen=True)
@@ -19,7 +20,8 @@ class Converter:
     the same rows plus ``markdown`` and ``error``, and may use ``mapInPandas`` or a
     Pandas UDF; its rows take a branch, so one more scan, of their own. With
     neither, the name only claims its extensions. ``secondary`` is the ``(name, columns)``
-    tried after an error, or where ``accepts``, if given, does not hold.
+    tried after an error, or where ``accepts``, if given, does not hold. ``fallback``
+    names the registered converter that gets the rows a ``frame`` gave an error for.
     """
 
     name: str
@@ -29,6 +31,7 @@ class Converter:
     frame: Callable | None = None
     accepts: Callable | None = None
     secondary: tuple | None = None
+    fallback: str | None = None
 
 
 class ConverterRegistry:
@@ -43,9 +46,25 @@ class ConverterRegistry:
         self._converters[converter.name] = converter
         return converter
 
-    def register_converter(self, name, exts, fn, rank=100) -> Converter:
-        """Plug in a ``DataFrame -> DataFrame`` converter; a known name is replaced."""
-        return self.add(Converter(name, tuple(exts), rank, frame=fn))
+    def register_converter(self, name, exts, fn, rank=100, fallback=None) -> Converter:
+        """Plug in a ``DataFrame -> DataFrame`` converter; a known name is replaced.
+
+        Rows that it gives an error for go to the converter named ``fallback``.
+        """
+        return self.add(Converter(name, tuple(exts), rank, frame=fn, fallback=fallback))
+
+    def register_function(self, name, exts, fn, rank=100, fallback=None, seconds=None) -> Converter:
+        """Plug in a Python function over documents, guarded as in ``guarded_frame``."""
+        return self.register_converter(name, exts, guarded_frame((name or "").lower(), fn, seconds), rank, fallback)
+
+    def fallback_of(self, converter):
+        """The converter that gets what ``converter`` failed on, or None."""
+        if converter.fallback is None:
+            return None
+        second = self.get(converter.fallback.lower())
+        if second is None or second.name == converter.name or not (second.columns or second.frame):
+            raise ValueError(f"{converter.name} can't fall back to {converter.fallback}")
+        return second
 
     def list_converters(self) -> list:
         """Names in order of first registration."""
@@ -111,8 +130,12 @@ def default_registry() -> ConverterRegistry:
 DEFAULT_REGISTRY = default_registry()
 
 
-def register_converter(name, exts, fn, rank=100) -> Converter:
-    return DEFAULT_REGISTRY.register_converter(name, exts, fn, rank)
+def register_converter(name, exts, fn, rank=100, fallback=None) -> Converter:
+    return DEFAULT_REGISTRY.register_converter(name, exts, fn, rank, fallback)
+
+
+def register_function(name, exts, fn, rank=100, fallback=None, seconds=None) -> Converter:
+    return DEFAULT_REGISTRY.register_function(name, exts, fn, rank, fallback, seconds)
 
 
 def list_converters() -> list:

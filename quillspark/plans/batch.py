@@ -12,6 +12,7 @@ from ..operators.options import request_errors
 from ..operators.registry import DEFAULT_REGISTRY
 from ..operators.routing import route_engine
 from ..schema import REQUEST_SCHEMA, RESULT_COLUMNS
+from ..session import settle
 from ..sources.requests import complete_requests
 
 
@@ -72,19 +73,43 @@ def _convert_columns(docs: DataFrame, converters) -> DataFrame:
     return checked.withColumn("markdown", F.when(F.size("errors") == 0, markdown))
 
 
-def _convert_frame(docs: DataFrame, converter) -> DataFrame:
-    """The rows of one registered ``DataFrame -> DataFrame`` converter."""
-    done = converter.frame(docs)
+def _answered(done: DataFrame, engine, fallback: bool, errors) -> DataFrame:
+    """The outcome columns of rows with ``markdown`` and ``error``."""
+    good = F.col("error").isNull()
     return done.withColumns(
         {
-            "errors": F.when(F.col("error").isNull(), no_errors()).otherwise(F.array("error")),
-            "engine": F.lit(converter.name),
-            "fallback": F.lit(False),
-            "markdown": F.when(F.col("error").isNull(), F.col("markdown")),
+            "errors": F.when(good, no_errors()).otherwise(errors),
+            "engine": F.lit(engine),
+            "fallback": F.lit(fallback),
+            "markdown": F.when(good, F.col("markdown")),
         }
     )
 
 
+def _convert_frame(docs: DataFrame, converter, second=None) -> DataFrame:
+    """The rows of one registered ``DataFrame -> DataFrame`` converter.
+
+    With a second converter the first one's outcomes are stored: the Markdown of
+    the rows that came through and the source of those that failed, so the first
+    runs once per row and the second only over the failed, which need no join.
+    """
+    done = converter.frame(docs)
+    if second is None:
+        return _answered(done, converter.name, False, F.array("error"))
+    failed = F.col("error").isNotNull()
+    source = {c: F.when(failed, F.col(c)).alias(c) for c in ("text", "content") if c in done.columns}
+    kept = settle(done.withColumns(source).withColumn("markdown", F.when(~failed, F.col("markdown"))))
+    first = _answered(kept.filter(~failed), converter.name, False, F.array("error"))
+    left = kept.filter(failed).withColumnRenamed("error", "_first").drop("markdown")
+    if second.frame:
+        again = second.frame(left)
+    else:
+        markdown, error = second.columns(F.col("text"))
+        again = left.withColumns({"markdown": markdown, "error": F.coalesce(F.col("_unreadable"), error)})
+    name = f"{second.name} (fallback from {converter.name})"
+    return first.unionByName(_answered(again, name, True, F.array("_first", "error")), allowMissingColumns=True)
+
+
 def convert_batch(
     df: DataFrame,
     registry=None,
@@ -108,6 +133,11 @@ def convert_batch(
     ``resolve_collisions``, which runs the conversion, registered converters
     included, a second time for the paths; ``run_batch`` takes them from the
     stored result instead.
+
+    A registered converter with a fallback is run when the frame is built: its
+    outcomes are stored, and the rows it gave an error for go to the second
+    converter; if that fails too, both reasons are kept. Refused requests never
+    come so far.
     """
     registry = registry or DEFAULT_REGISTRY
     names = registry.list_converters()
@@ -156,7 +186,8 @@ def convert_batch(
     done = _convert_columns(rest, built_in).select(*columns)
     for converter in plugged:
         mine = docs.filter(to_plugged & (F.col("_engine") == converter.name))
-        done = done.unionByName(_convert_frame(mine, converter).select(*columns))
+        second = registry.fallback_of(converter)
+        done = done.unionByName(_convert_frame(mine, converter, second).select(*columns))
 
     failed = F.size("errors") > 0
     cause = F.when(F.size("_refused") > 0, "bad_option").when(failed, "conversion_failed")
