@@ -102,6 +102,22 @@ def csv_files(spark, sf_dir):
     return df.select("o_orderkey", text.alias("text"))
 
 
+def write_csv_files(spark, sf_dir, location):
+    """Orders as one CSV file per group of customers, each as large as its group.
+
+    The header and every second record have a line break in quotes; quotes also
+    stand inside plain fields and text behind closing ones.
+    """
+    key, status, priority = F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")
+    body = F.when(
+        key % 2 == 0, F.concat(key.cast("string"), F.lit(',"'), priority, F.lit('\nsays ""'), status, F.lit('""",5" pipe,more\r'))
+    ).otherwise(F.concat(key.cast("string"), F.lit(',"a|b" '), status, F.lit("\n")))
+    records = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 8).alias("part"), key.alias("place"), body.alias("value"))
+    headers = records.select("part").distinct().select("part", F.lit(-1).alias("place"), F.lit('key,"the\nnote",size').alias("value"))
+    ordered = records.unionByName(headers).repartition("part").sortWithinPartitions("part", "place")
+    ordered.select("part", "value").write.partitionBy("part").text(location)
+
+
 def json_texts(spark, sf_dir):
     """Event properties, cut short or followed by more for some event types."""
     props, kind = F.col("props"), F.col("event_type")

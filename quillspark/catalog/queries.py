@@ -16,6 +16,7 @@ from ..plans.batch import convert_batch
 from ..plans.requests import assemble_requested, convert_requests
 from ..plans.sink import run_batch, saved_markdown, write_markdown
 from ..session import new_shared_path
+from ..sources.csv_blocks import scan_csv
 from ..sources.files import filter_supported, scan_folder
 from ..sources.requests import scan_requests
 from ..streaming.inbox import inbox_results, stream_documents
@@ -180,6 +181,13 @@ def q_csv_to_markdown(spark, sf_dir):
     return _pair(inputs.csv_files(spark, sf_dir), "o_orderkey", formats.csv_to_markdown)
 
 
+def q_scan_csv(spark, sf_dir):
+    location = new_shared_path(spark)
+    inputs.write_csv_files(spark, sf_dir, location)
+    part = F.regexp_extract("file", r"part=(\d+)/", 1).cast("long")
+    return scan_csv(spark, location).select(part.alias("part"), "row", "markdown", "error")
+
+
 def q_json_to_markdown(spark, sf_dir):
     return _pair(inputs.json_texts(spark, sf_dir), "event_id", formats.json_to_markdown)
 

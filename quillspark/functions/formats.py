@@ -196,12 +196,40 @@ def _csv_table(lines: Column) -> Column:
     return bind(_csv_width(lines), table)
 
 
-def _csv_problem(pieces: Column) -> Column:
-    return (
-        F.when(F.size(pieces) % 2 == 0, "csv error: quoted field without end")
-        .when(_stray_quote(pieces), "csv error: quote inside an unquoted field")
-        .when(F.size(_csv_lines(pieces)) == 0, "csv error: empty file")
-    )
+# One field from its first character to its end: quoted, with what follows the closing quote, or
+# plain. Possessive, so linear; each match begins where the one before ends.
+_CSV_QUOTED = r'"[^"]*+(?:""[^"]*+)*+'
+_CSV_END = r"(?:,|\r\n|\r|\n|\z)"
+_CSV_FIELD = rf'{_CSV_QUOTED}(?:"[^,\r\n]*+)?{_CSV_END}|[^,\r\n]*+{_CSV_END}'
+
+
+def _csv_fields(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_CSV_FIELD), F.lit(0))
+
+
+def _loose_lines(text: Column) -> Column:
+    """Encoded lines of a file in which quotes stand inside plain fields or before their end.
+
+    As programs read it: a quote that does not begin a field is a character, and
+    what follows a closing quote belongs to the field.
+    """
+
+    def one(field):
+        inner = F.regexp_extract(field, r'\A"([^"]*+(?:""[^"]*+)*+)"', 1)
+        after = F.regexp_extract(field, rf'\A{_CSV_QUOTED}"([^,\r\n]*+)', 1)
+        for end in ("\r\n", "\r", "\n"):
+            inner = F.replace(inner, F.lit(end), F.lit("<br>"))
+        quoted = F.concat(F.lit('"e'), F.replace(inner, F.lit('""'), F.lit('"q')), F.replace(after, F.lit('"'), F.lit('"q')))
+        plain = F.replace(F.regexp_replace(field, rf"{_CSV_END}\z", ""), F.lit('"'), F.lit('"q'))
+        body = F.when(F.startswith(field, F.lit('"')), quoted).otherwise(plain)
+        return F.concat(body, F.when(F.endswith(field, F.lit(",")), '"s').otherwise('"n'))
+
+    return F.filter(F.split(F.array_join(F.transform(_csv_fields(text), one), ""), '"n'), lambda line: F.trim(line) != "")
+
+
+def _loose_open(text: Column) -> Column:
+    """True when a quoted field of such a file is never closed."""
+    return F.exists(_csv_fields(text), lambda field: field.rlike(rf"\A{_CSV_QUOTED}\z"))
 
 
 def csv_columns(text: Column):
@@ -210,12 +238,20 @@ def csv_columns(text: Column):
     The first line is the header and sets the width: short rows are padded,
     long rows are cut. Blank lines are skipped, ``|`` in a cell is escaped. Lines
     end with LF, CR LF or CR; those in a quoted field are written as ``<br>``. A
-    quote inside an unquoted field or one that is never closed is an error
-    rather than a guess.
+    quote inside a plain field is a character of it, and what follows a closing
+    quote belongs to the field; such files take a way of their own. A quoted field
+    that is never closed is an error rather than a guess.
     """
-    pieces = F.split(without_mark(text), '"', -1)
-    error = F.when(text.isNull(), "csv error: no text").otherwise(bind(pieces, _csv_problem))
-    return bind(bind(pieces, _csv_lines), _csv_table), error
+    text = without_mark(text)
+    pieces = F.split(text, '"', -1)
+    lines = lambda p: F.when(_stray_quote(p), _loose_lines(text)).otherwise(_csv_lines(p))
+
+    def problem(p):
+        unclosed = F.when(_stray_quote(p), _loose_open(text)).otherwise(F.size(p) % 2 == 0)
+        return F.when(unclosed, "csv error: quoted field without end").when(F.size(lines(p)) == 0, "csv error: empty file")
+
+    error = F.when(text.isNull(), "csv error: no text").otherwise(bind(pieces, problem))
+    return bind(bind(pieces, lines), _csv_table), error
 
 
 def text_to_markdown(text: Column) -> Column:

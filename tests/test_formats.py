@@ -26,6 +26,14 @@ def test_csv_rules(spark):
     ]
 
 
+def test_csv_quotes_as_programs_write_them(spark):
+    text = 'size,n\n5" pipe,"x" ,3\n"a ""b"" c" d,"1\n2"\n'
+    got = column_values(spark, [text, 'a,b\nx "y",2'], formats.csv_to_markdown)
+    assert [r["markdown"] for r in got] == [
+        '| size | n |\n| --- | --- |\n| 5" pipe | x  |\n| a "b" c d | 1<br>2 |', '| a | b |\n| --- | --- |\n| x "y" | 2 |',
+    ]
+
+
 @pytest.mark.parametrize(
     "text, error",
     [
@@ -33,7 +41,7 @@ def test_csv_rules(spark):
         ("", "csv error: empty file"),
         (" \n\n", "csv error: empty file"),
         ('a\n"x\ny\n', "csv error: quoted field without end"),
-        ('a,b\nx "y",2', "csv error: quote inside an unquoted field"),
+        ('a,b\nx "y","2', "csv error: quoted field without end"),
     ],
 )
 def test_csv_errors(spark, text, error):
