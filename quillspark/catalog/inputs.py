@@ -102,6 +102,19 @@ def csv_files(spark, sf_dir):
     return df.select("o_orderkey", text.alias("text"))
 
 
+def order_pages(spark, sf_dir):
+    """One page per order with a table, nested and numbered lists, a quotation and preformatted text."""
+    key, who = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    text = F.concat(
+        F.lit("<html><body><h2>Order "), key, F.lit("</h2><TABLE><tr><th>key<th>state|note</tr><tr><td>"), key, F.lit("</td><td><p>"), status,
+        F.lit("</p>it&#39;s</td></tr><tr><td>"), who, F.lit("</table><ol start='3'><li>"), priority, F.lit("<ul><li>"), status, F.lit("</li><li><b>"), who,
+        F.lit("</b></ul><li><p>last</p></ol><pre>\n  a = "), key, F.lit("\n\n  <i>b</i>\n</pre><blockquote>"), priority, F.lit("<br>by <a href='/c/"), who,
+        F.lit("'><b>buyer</b> "), who, F.lit('</a></blockquote><img alt="seal" src=/s.png> &#x20AC;</body></html>'),
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
+
+
 def write_csv_files(spark, sf_dir, location):
     """Orders as one CSV file per group of customers, each as large as its group.
 

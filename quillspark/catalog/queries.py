@@ -177,6 +177,10 @@ def q_html_to_markdown(spark, sf_dir):
     return _pair(inputs.pages(spark, sf_dir), "page_id", html.html_to_markdown)
 
 
+def q_html_structure(spark, sf_dir):
+    return _pair(inputs.order_pages(spark, sf_dir), "o_orderkey", html.html_to_markdown)
+
+
 def q_csv_to_markdown(spark, sf_dir):
     return _pair(inputs.csv_files(spark, sf_dir), "o_orderkey", formats.csv_to_markdown)
 

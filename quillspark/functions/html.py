@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .result import bind, converted
+from .structure import is_nested, nested_markdown
 
 _BLANKS = " \t\r\f"
 _REST = r"(?:[ \t\r\n\f/][^<>]*+)?"
@@ -54,6 +55,97 @@ ENTITIES = {
     "&middot;": "·",
     "&amp;": "&",
 }
+# More names of characters, replaced where a page holds any of them.
+MORE_ENTITIES = {
+    "&apos;": "'",
+    "&ndash;": "–",
+    "&mdash;": "—",
+    "&lsquo;": "‘",
+    "&rsquo;": "’",
+    "&ldquo;": "“",
+    "&rdquo;": "”",
+    "&laquo;": "«",
+    "&raquo;": "»",
+    "&hellip;": "…",
+    "&bull;": "•",
+    "&euro;": "€",
+    "&reg;": "®",
+    "&trade;": "™",
+    "&times;": "×",
+}
+_MORE = "&(?:#|" + "|".join(name[1:] for name in MORE_ENTITIES) + ")"
+
+
+def _value(tag: Column, attribute: str) -> Column:
+    """An attribute of a tag's text, in either kind of quotes or none; empty without it."""
+    pattern = rf"""(?is)\s{attribute}\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'<>]++))"""
+    return F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
+
+
+def _around(text: Column, opening: str, one) -> Column:
+    """The text cut before each opening tag, ``one`` of each piece but the first."""
+
+    def put_together(pieces):
+        return F.array_join(F.transform(pieces, lambda x, i: F.when(i == 0, x).otherwise(one(x))), "")
+
+    return bind(F.split(text, opening, -1), put_together)
+
+
+def _where(text: Column, pattern: str, change) -> Column:
+    """The text changed if it has the pattern; most pages are only looked through."""
+    return bind(text, lambda t: F.when(t.rlike(pattern), change(t)).otherwise(t))
+
+
+def _images(text: Column) -> Column:
+    def one(piece):
+        tag, rest = F.regexp_extract(piece, r"\A([^<>]*+)>", 1), F.regexp_replace(piece, r"\A[^<>]*+>", "")
+        shown = F.concat(F.lit("!["), _value(tag, "alt"), F.lit("]("), _value(tag, "src"), F.lit(")"), rest)
+        return F.when(piece.rlike(r"\A[^<>]*+>"), shown).otherwise(F.concat(F.lit("<img"), piece))
+
+    return _where(text, r"(?i)<img[\s/]", lambda t: _around(t, r"(?i)<img(?=[\s/])", one))
+
+
+def _links(text: Column) -> Column:
+    """Links that the quick pattern leaves: other quotes, tags inside."""
+
+    def one(piece):
+        tag = F.regexp_extract(piece, r"\A([^<>]*+)>", 1)
+        parts = F.split(F.regexp_replace(piece, r"\A[^<>]*+>", ""), r"(?i)</a\s*+>", 2)
+        inner = F.regexp_replace(F.regexp_replace(F.get(parts, F.lit(0)), _BOLD, "**$1**"), _TAG, "")
+        shown = F.btrim(F.regexp_replace(inner, r"[ \t\r\n\f]+", " "))
+        link = F.concat(F.lit("["), shown, F.lit("]("), _value(tag, "href"), F.lit(")"), F.get(parts, F.lit(1)))
+        complete = (tag != "") & tag.rlike(r"(?is)\shref\s*+=") & (F.size(parts) == 2)
+        return F.when(complete, link).otherwise(F.concat(F.lit("<a"), piece))
+
+    return _where(text, r"(?i)<a\s[^<>]*\bhref", lambda t: _around(t, r"(?i)<a(?=\s)", one))
+
+
+def _numbered(text: Column) -> Column:
+    """Entities given by the number of a character; others stay as they are."""
+    number = r"\A(?:[xX]([0-9a-fA-F]{1,6})|([0-9]{1,7}));?+"
+
+    def one(piece):
+        return bind(code_of(piece), lambda code: character_of(code, piece))
+
+    def code_of(piece):
+        sixteen, ten = F.regexp_extract(piece, number, 1), F.regexp_extract(piece, number, 2)
+        return F.when(sixteen != "", F.conv(sixteen, 16, 10)).otherwise(ten).try_cast("int")
+
+    def character_of(code, piece):
+        known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        character = F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
+        return F.when(known, F.concat(character, F.regexp_replace(piece, number, ""))).otherwise(F.concat(F.lit("&#"), piece))
+
+    return _around(text, "&#", one)
+
+
+def _more_entities(text: Column) -> Column:
+    def replaced(text):
+        for entity, character in MORE_ENTITIES.items():
+            text = _literal(text, entity, character)
+        return _numbered(text)
+
+    return _where(text, _MORE, replaced)
 
 
 def _literal(text: Column, old: str, new: str) -> Column:
@@ -61,6 +153,7 @@ def _literal(text: Column, old: str, new: str) -> Column:
 
 
 def _entities(text: Column) -> Column:
+    text = _more_entities(text)
     for entity, character in ENTITIES.items():
         text = _literal(text, entity, character)
     return text
@@ -99,13 +192,15 @@ def html_is_closed(text: Column) -> Column:
     return F.when(F.endswith(text, F.lit("</html>")), True).otherwise(end == "</html>")
 
 
-def html_body_to_markdown(text: Column) -> Column:
-    """The Markdown text alone."""
-    text = F.regexp_replace(text, _INVISIBLE, "")
-    text = _headless(text)
-    text = F.regexp_replace(text, _LINK, "[$2]($1)")
-    text = F.regexp_replace(text, _BOLD, "**$1**")
-    text = F.regexp_replace(text, _STRUCTURE, _MARK)
+def _inline(text: Column) -> Column:
+    """Images, links and bold text as Markdown."""
+    text = F.regexp_replace(_images(text), _LINK, "[$2]($1)")
+    return F.regexp_replace(_links(text), _BOLD, "**$1**")
+
+
+def _flat_markdown(text: Column) -> Column:
+    """A page whose tags only say where lines begin."""
+    text = F.regexp_replace(_inline(text), _STRUCTURE, _MARK)
     text = _literal(text, "<h>>", "\n")
     for level in range(1, 7):
         text = _literal(text, f"<h{level}>", "\n" + "#" * level + " ")
@@ -114,6 +209,21 @@ def html_body_to_markdown(text: Column) -> Column:
     return _paragraphs(_entities(text))
 
 
+def _nested_markdown(text: Column) -> Column:
+    """A page with nested or numbered lists, tables, quotations or preformatted text."""
+
+    def inline(pieces):
+        return F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(r"(?i)\A<pre[\s/>]"), x).otherwise(_inline(x))), "")
+
+    return _entities(nested_markdown(bind(F.split(text, r"(?i)(?=</?pre[\s/>])", -1), inline)))
+
+
+def html_body_to_markdown(text: Column) -> Column:
+    """The Markdown text alone."""
+    text = _headless(F.regexp_replace(text, _INVISIBLE, ""))
+    return bind(text, lambda t: F.when(is_nested(t), _nested_markdown(t)).otherwise(_flat_markdown(t)))
+
+
 def html_columns(text: Column):
     """The pair ``(markdown, error)`` of a page."""
     return html_body_to_markdown(text), F.when(text.isNull(), "html error: no text")

@@ -256,3 +256,45 @@ def test_tags_are_stripped_to_words(spark):
     cut = "<div><script>x()</script><p>one <b>two</b></p><p>three &amp; fo"
     got = column_values(spark, [cut], html.strip_tags)[0]
     assert got["markdown"] == "one\ntwo\nthree & fo"
+
+
+STRUCTURES = {
+    "<ul><li>a<ul><li>b<li>c</ul><li>d</ul><ol start=3><li>x</li><li>y <b>z</b><ol><li>q</ol></ol>end": "* a\n    * b\n    * c\n* d\n\n3. x\n4. y **z**\n    1. q\n\nend",
+    "<ul><li>a<ol><li>b</ol>c</ul>": "* a\n    1. b\n\n    c",
+    "<ol><li><p>a</p><p>b</p></li><li></ol>": "1. a\n\n    b\n2.",
+    "<p>t</p><table><caption>cap</caption><thead><tr><th>a</th><th>b|c</th></tr></thead><tr><td>1<td><p>2</p>x<br>y<tr><td>only</table>after": (
+        "t\n\ncap\n\n| a | b\\|c |\n| --- | --- |\n| 1 | 2 x y |\n| only | |\n\nafter"
+    ),
+    "<table><tr><td>a<table><tr><td>in</table></td></tr></table>": "| a in |\n| --- |",
+    "<pre>\n  def f(x):\n\n    return &lt;b&gt; <b>no</b><br>z\n</pre>x": "```\n  def f(x):\n\n    return <b> no\nz\n\n```\n\nx",
+    "<blockquote><p>one</p><p>two<br>three</p><blockquote>in</blockquote></blockquote>out": "> one\n>\n> two\n> three\n>\n> > in\n>\nout",
+    "a<hr>b": "a\n\n---\n\nb",
+    "<a href='/x'>s</a> <a href=/y><b>t</b>\n<i>u</i></a> <a name=z>w</a> <a href='x'>open": "[s](/x) [**t** u](/y) w open",
+    "<img alt=\"al\" src='i.png'><IMG src=b> <a href=\"/q\"><img src=a alt=b></a><img": "![al](i.png)![](b) [![b](a)](/q)<img",
+    "it&#39;s &#x41;&#128512;&amp;#39; &#0;&#55296; &mdash;&apos;": "it's A😀&#39; &#0;&#55296; —'",
+}
+
+
+def test_html_structure(spark):
+    got = [r["markdown"] for r in column_values(spark, list(STRUCTURES), html.html_to_markdown)]
+    assert got == list(STRUCTURES.values())
+
+
+NESTED = ["<ul><li>a", "<table><tr><td>x", "<ol><li>a</li>", "<tr><td>x", "<pre>a\n", "<blockquote>a", "<ol><a href='x'>", '<ol><img alt="', "&#39;", "<li><ul>"]
+
+
+@pytest.mark.parametrize("shape", NESTED)
+def test_nested_pages_stay_linear(spark, shape):
+    seconds = []
+    for size in (50_000, 200_000):
+        page = "<ol>" + shape * (size // len(shape))
+        start = time.perf_counter()
+        assert len(column_values(spark, [page], html.html_to_markdown)) == 1
+        seconds.append(time.perf_counter() - start)
+    assert seconds[1] < 8 * seconds[0] + 1
+
+
+def test_deep_lists_lose_no_text(spark):
+    page = "<ul><li>x" * 300 + "</ul>" * 300 + "<ol><li>end</ol>"
+    got = column_values(spark, [page], html.html_to_markdown)[0]["markdown"]
+    assert got.count("* x") == 300 and got.endswith("\n1. end")
