@@ -111,7 +111,8 @@ def _links(text: Column) -> Column:
     def one(piece):
         tag = F.regexp_extract(piece, r"\A([^<>]*+)>", 1)
         parts = F.split(F.regexp_replace(piece, r"\A[^<>]*+>", ""), r"(?i)</a\s*+>", 2)
-        inner = F.regexp_replace(F.regexp_replace(F.get(parts, F.lit(0)), _BOLD, "**$1**"), _TAG, "")
+        # Bold text in a link is still to come.
+        inner = F.regexp_replace(F.get(parts, F.lit(0)), r"<(?!(?i:/?(?:b|strong)>))[a-zA-Z/!?][^<>]*+>", "")
         shown = F.btrim(F.regexp_replace(inner, r"[ \t\r\n\f]+", " "))
         link = F.concat(F.lit("["), shown, F.lit("]("), _value(tag, "href"), F.lit(")"), F.get(parts, F.lit(1)))
         complete = (tag != "") & tag.rlike(r"(?is)\shref\s*+=") & (F.size(parts) == 2)
@@ -193,14 +194,18 @@ def html_is_closed(text: Column) -> Column:
 
 
 def _inline(text: Column) -> Column:
-    """Images, links and bold text as Markdown."""
-    text = F.regexp_replace(_images(text), _LINK, "[$2]($1)")
-    return F.regexp_replace(_links(text), _BOLD, "**$1**")
+    """Images, links and bold text as Markdown, but for what is preformatted."""
+
+    def one(piece):
+        linked = _links(F.regexp_replace(_images(piece), _LINK, "[$2]($1)"))
+        return F.when(piece.rlike(r"(?i)\A<pre[\s/>]"), piece).otherwise(F.regexp_replace(linked, _BOLD, "**$1**"))
+
+    return F.array_join(F.transform(F.split(text, r"(?i)(?=</?pre[\s/>])", -1), one), "")
 
 
 def _flat_markdown(text: Column) -> Column:
     """A page whose tags only say where lines begin."""
-    text = F.regexp_replace(_inline(text), _STRUCTURE, _MARK)
+    text = F.regexp_replace(text, _STRUCTURE, _MARK)
     text = _literal(text, "<h>>", "\n")
     for level in range(1, 7):
         text = _literal(text, f"<h{level}>", "\n" + "#" * level + " ")
@@ -209,19 +214,14 @@ def _flat_markdown(text: Column) -> Column:
     return _paragraphs(_entities(text))
 
 
-def _nested_markdown(text: Column) -> Column:
-    """A page with nested or numbered lists, tables, quotations or preformatted text."""
-
-    def inline(pieces):
-        return F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(r"(?i)\A<pre[\s/>]"), x).otherwise(_inline(x))), "")
-
-    return _entities(nested_markdown(bind(F.split(text, r"(?i)(?=</?pre[\s/>])", -1), inline)))
-
-
 def html_body_to_markdown(text: Column) -> Column:
-    """The Markdown text alone."""
-    text = _headless(F.regexp_replace(text, _INVISIBLE, ""))
-    return bind(text, lambda t: F.when(is_nested(t), _nested_markdown(t)).otherwise(_flat_markdown(t)))
+    """The Markdown text alone.
+
+    Pages with nested or numbered lists, tables, quotations or preformatted text
+    are folded token by token; for all others patterns are enough.
+    """
+    text = _inline(_headless(F.regexp_replace(text, _INVISIBLE, "")))
+    return bind(text, lambda t: F.when(is_nested(t), _entities(nested_markdown(t))).otherwise(_flat_markdown(t)))
 
 
 def html_columns(text: Column):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators.matching import match_requests, missing_files
 from ..operators.options import request_errors
-from ..operators.parts import MAX_DOCUMENT_BYTES, assemble_parts, slice_parts
+from ..operators.parts import MAX_DOCUMENT_BYTES, assemble_parts, part_bytes, slice_parts
 from ..operators.registry import DEFAULT_REGISTRY
 from ..schema import REQUEST_SCHEMA, RESULT_COLUMNS
 from ..sources.requests import complete_requests
@@ -68,7 +68,9 @@ def assemble_requested(
     ``start_page`` and ``end_page``; a null end means to the end. Requests that
     turn out small are broadcast, so parts move once only, to be joined.
     """
-    bounds = requests.select(request, key, "start_page", "end_page")
-    asked = parts.join(broadcast_if_small(bounds), key)
-    chosen = slice_parts(asked, ord, F.col("start_page"), F.col("end_page"))
-    return assemble_parts(chosen, request, ord, heading, text, max_bytes)
+    bounds = broadcast_if_small(requests.select(request, key, "start_page", "end_page"))
+    within = lambda of: slice_parts(of.join(bounds, key), ord, F.col("start_page"), F.col("end_page"))
+    # Sizes are taken before the join, so the text is joined and moved once.
+    narrow = parts.select(key, ord, part_bytes(heading, text).alias("bytes"))
+    sizes = within(narrow).select(F.col(request).alias("key"), F.col(ord).alias("ord"), "bytes")
+    return assemble_parts(within(parts), request, ord, heading, text, max_bytes, sizes)

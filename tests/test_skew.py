@@ -1,5 +1,6 @@
 """Hot keys: the ways around one large group give the same rows as a plain one."""
 
+import random
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -77,6 +78,39 @@ def test_a_long_document_is_cut_into_whole_pieces(spark):
     assert {r["piece"] for r in rows if len(joined[r["doc"]]) == 1} == {0}
 
 
+def _pieces(spark, parts, max_bytes):
+    df = spark.createDataFrame([("d", o, "h", "x" * n) for o, n in parts] + [("short", 1, "h", "y")], "doc string, turn int, role string, text string").repartition(4)
+    got = {}
+    for r in assemble_parts(df, "doc", "turn", "role", "text", max_bytes).orderBy("doc", "piece").collect():
+        got.setdefault(r["doc"], []).append(r)
+    assert [r["piece"] for r in got["short"]] == [0]
+    assert [r["piece"] for r in got["d"]] == list(range(len(got["d"])))
+    ordered = sorted(parts, key=lambda p: (p[0] is not None, p[0] or 0))
+    assert "\n\n".join(r["markdown"] for r in got["d"]) == "\n\n".join("## h\n\n" + "x" * n for _, n in ordered)
+    return [len(r["markdown"]) for r in got["d"]]
+
+
+def test_pieces_are_dense(spark):
+    one_large = [(o, 500 if o == 5 else 10) for o in range(11)]
+    assert len(_pieces(spark, one_large, 300)) == 3
+    holes = [(o * o * 1000 - 7, 40) for o in range(60)]
+    sizes = _pieces(spark, holes, 400)
+    assert max(sizes) <= 400 and sum(sizes[:-1]) / len(sizes[:-1]) > 300
+
+
+def test_pieces_of_any_sizes_stay_under_the_limit(spark):
+    rng = random.Random(3)
+    parts = [(None if o == 0 else o, rng.choice([0, 3, 90, 140, 700])) for o in rng.sample(range(-500, 3000), 700)]
+    parts = [p for p in parts if p[0] is not None] + [(None, 50)]
+    sizes = _pieces(spark, parts, 300)
+    assert all(n <= 300 or n == 706 for n in sizes)
+
+
+def test_many_pieces_of_one_document(spark):
+    sizes = _pieces(spark, [(o, 30) for o in range(3000)], 80)
+    assert len(sizes) == 1500 and max(sizes) <= 80
+
+
 def test_parts_are_joined_in_order(spark):
     df = spark.createDataFrame(
         [(1, 10, "user", "c"), (1, 9, "bot", "b"), (1, 2, "user", None), (2, 0, None, "z")],
