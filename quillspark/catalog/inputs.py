@@ -102,6 +102,11 @@ def csv_files(spark, sf_dir):
     return df.select("o_orderkey", text.alias("text"))
 
 
+def write_page_files(pages, location):
+    """Each page as a file of its own in one folder, beside those that are there."""
+    pages.select(F.col("html").alias("value")).write.mode("append").option("maxRecordsPerFile", 1).text(location)
+
+
 def order_pages(spark, sf_dir):
     """One page per order with a table, nested and numbered lists, a quotation and preformatted text."""
     key, who = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")

@@ -19,7 +19,7 @@ from ..session import new_shared_path
 from ..sources.csv_blocks import scan_csv
 from ..sources.files import filter_supported, scan_folder
 from ..sources.requests import scan_requests
-from ..streaming.inbox import inbox_results, stream_documents
+from ..streaming.inbox import inbox_results, stream_documents, stream_inbox
 from . import inputs
 
 PAGE_OPTIONS = {"mode": "folder", "base_dir": "/out", "options": {"engine": "html"}}
@@ -332,7 +332,7 @@ def q_guarded_plugin(spark, sf_dir):
     return results.select("file", "status", "engine", "fallback", _joined().alias("reasons"), "markdown")
 
 
-def q_stream_inbox(spark, sf_dir):
+def q_stream_documents(spark, sf_dir):
     schema = inputs.table(spark, sf_dir, "pages").schema
     stream = (
         spark.readStream.schema(schema)
@@ -350,4 +350,25 @@ def q_stream_inbox(spark, sf_dir):
     )
 
 
+def q_stream_inbox(spark, sf_dir):
+    """Pages as files of one folder, in two runs over one checkpoint."""
+    location = new_shared_path(spark)
+    pages = inputs.table(spark, sf_dir, "pages")
+    for turn in (0, 1):
+        inputs.write_page_files(pages.filter(F.col("page_id") % 2 == turn), f"{location}/inbox")
+        run = stream_inbox(spark, f"{location}/inbox", f"{location}/out", f"{location}/state", exts=[".txt"], options={"engine": "html"})
+        run.awaitTermination()
+    return inbox_results(spark, f"{location}/out").select("status", "engine", "fallback", "markdown", "n_same_path", "survives")
+
+
+def q_rerun_batch(spark, sf_dir):
+    """All pages, then some of them changed: the store holds the new text of these and the old of the others."""
+    location = new_shared_path(spark)
+    pages = inputs.pages(spark, sf_dir)
+    run_batch(pages, location, **PAGE_OPTIONS)
+    changed = pages.filter(F.col("page_id") % 3 == 0).withColumn("text", F.lit("<p>changed</p></html>"))
+    run_batch(changed, location, **PAGE_OPTIONS)
+    return saved_markdown(spark, location)
+
+
 QUERIES = {name[2:]: query for name, query in list(globals().items()) if name.startswith("q_")}

@@ -51,6 +51,13 @@ def new_shared_path(spark) -> str:
     return f"{shared_folder(spark)}/quillspark-{uuid.uuid4().hex}"
 
 
+def committed(spark, location: str, pattern: str) -> list:
+    """Folders ``location/pattern`` whose write has ended, by the mark a write leaves last."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{location}/{pattern}/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [status.getPath().getParent().toString() for status in (found or [])]
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute once: write to the shared folder and read back.
 
