@@ -290,12 +290,22 @@ def q_convert_mixed_batch(spark, sf_dir):
 def q_convert_requests(spark, sf_dir):
     labelled = inputs.table(spark, sf_dir, "labels").select("doc_id")
     files = inputs.corpus(spark, sf_dir).join(labelled, "doc_id", "left_semi").drop("doc_id")
-    asked = inputs.requests(spark, sf_dir).drop("doc_id")
-    return convert_requests(asked, files).select(
-        "file", "status", "engine", "fallback", _joined().alias("reasons"), "error_kind"
+    return convert_requests(inputs.requests(spark, sf_dir), files).select(
+        "doc_id", "file", "status", "engine", "fallback", _joined().alias("reasons"), "error_kind", "output_path", "markdown"
     )
 
 
+def q_convert_request_pages(spark, sf_dir):
+    """Requests for turns of conversations as pages of HTML files."""
+    turns = inputs.table(spark, sf_dir, "conversations").select(
+        F.concat(F.lit("/chats/"), F.col("conv_id").cast("string"), F.lit(".html")).alias("file_path"),
+        F.col("turn").alias("page"), F.concat(F.lit("<h2>"), "role", F.lit("</h2><p>"), "text", F.lit("</p>")).alias("text"),
+    )
+    asked = inputs.requests(spark, sf_dir).withColumn("file_path", F.concat(F.lit("/chats/"), (F.col("doc_id") % 150).cast("string"), F.lit(".html"))).drop("engine")
+    done = convert_requests(asked, turns, part="page")
+    return done.select("doc_id", "piece", "file", "status", "engine", _joined().alias("reasons"), "error_kind", "output_path", "markdown")
+
+
 def q_register_converter(spark, sf_dir):
     registry = default_registry()
     lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -118,6 +118,7 @@ def convert_batch(
     default_engine="auto",
     options=None,
     collisions=False,
+    carry=(),
 ) -> DataFrame:
     """Result rows of a table of documents, one per document.
 
@@ -134,6 +135,9 @@ def convert_batch(
     included, a second time for the paths; ``run_batch`` takes them from the
     stored result instead.
 
+    ``carry`` names columns of ``df`` that each result row keeps, such as the key of
+    a request; a registered converter sees them as ``_carry0`` and on.
+
     A registered converter with a fallback is run when the frame is built: its
     outcomes are stored, and the rows it gave an error for go to the second
     converter; if that fails too, both reasons are kept. Refused requests never
@@ -153,6 +157,7 @@ def convert_batch(
         *[c for c in ("content",) if c in df.columns],
         "_unreadable",
         "output_dir",
+        *[F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)],
         parts["ext"].alias("ext"),
         parts["stem"].alias("_stem"),
         request_errors(names, fields).alias("_reasons"),
@@ -179,9 +184,10 @@ def convert_batch(
         )
         .otherwise(no_errors()),
     )
+    carried = [f"_carry{i}" for i in range(len(carry))]
     # A registered converter gets the raw content too, UTF-8 or not.
     to_plugged = F.col("_engine").isin([c.name for c in plugged]) & (F.size("_refused") == 0)
-    columns = ["file", "output_dir", "_stem", "_refused", "errors", "engine", "fallback", "markdown"]
+    columns = ["file", "output_dir", "_stem", "_refused", "errors", "engine", "fallback", "markdown", *carried]
     rest = docs.filter(~F.coalesce(to_plugged, F.lit(False))) if plugged else docs
     done = _convert_columns(rest, built_in).select(*columns)
     for converter in plugged:
@@ -200,5 +206,5 @@ def convert_batch(
             "images_dir": F.lit(None).cast("string"),
             "error_kind": classify_error(cause, F.lit(""))["kind"],
         }
-    ).select(*RESULT_COLUMNS)
+    ).select(*RESULT_COLUMNS, *[F.col(c).alias(name) for c, name in zip(carried, carry)])
     return resolve_collisions(results) if collisions else results
