@@ -67,3 +67,20 @@ def logistic(x):
         return 1.0 / (1.0 + math.exp(-min(x, 700.0)))
     e = math.exp(max(x, -700.0))
     return e / (1.0 + e)
+
+
+def text_id(text):
+    """128 bits that stand for a text; null is a text of its own."""
+    return F.xxhash64(F.lit(1), text).alias("h1"), F.xxhash64(F.lit(2), text).alias("h2")
+
+
+def one_row_each(docs, kept, key, text):
+    """The rows of ``docs`` that ``kept`` names by ``k, h1, h2``, one for each; ``n`` is how many there are."""
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[key].alias("k"), *text_id(docs[text]))
+    mine = lambda named: packed["k"].eqNullSafe(named["k"]) & (packed["h1"] == named["h1"]) & (packed["h2"] == named["h2"])
+    again = settle(kept.filter("n > 1"))
+    if again.isEmpty():
+        return packed.join(kept, mine(kept), "left_semi").select("row.*")
+    single = kept.filter("n = 1")
+    once = packed.join(single, mine(single), "left_semi")
+    return once.unionByName(packed.join(again, mine(again), "left_semi").dropDuplicates(["k", "h1", "h2"])).select("row.*")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import settle
-from .common import lots
+from .common import lots, text_id
 
 WINDOW = 10
 # Bytes of benchmark words and windows that a broadcast may hold; beyond it the
@@ -197,22 +197,34 @@ def cut_spans(data, spans):
 
 
 def remove_spans(docs, benchmark, key="doc_id", text="text", **options):
-    """``docs`` with the hit words cut out of ``text``; null and clean texts unchanged."""
-    spark = docs.sparkSession
-    names = docs.columns
-    rows = settle(docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = decontaminate(rows, benchmark, "_row", text, **options).filter("contaminated").select("_row", F.col("spans").alias("_spans"))
+    """``docs`` with the hit words cut out of ``text``; null and clean texts unchanged.
+
+    Every row stays, repeated ones and those of null keys too; the other columns,
+    of any names, are kept; an empty table stays empty.
+    """
+    import pandas as pd
 
-    @F.udf("string")
-    def cut(data, spans):
-        return cut_spans(data.encode(), spans).decode("utf-8", "replace") if spans else data
+    rows = settle(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("id"), docs[text].alias("text")))
+    found = settle(decontaminate(rows.select("id", "text"), benchmark, "id", "text", **options).filter("contaminated").select("id", "spans"))
 
-    return rows.join(settle(found), "_row", "left").withColumn(text, F.when(F.col("_spans").isNotNull(), cut(text, "_spans")).otherwise(F.col(text))).select(*names)
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or s is None else cut_spans(t.encode(), s).decode("utf-8", "replace") for t, s in zip(texts, spans)], dtype=object)
+
+    joined = rows.join(found, "id", "left").withColumn("text", F.when(F.col("spans").isNotNull(), cut("text", "spans")).otherwise(F.col("text")))
+    return joined.select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def drop_contaminated(docs, benchmark, key="doc_id", text="text", least=1, **options):
-    """``docs`` without the documents that hold ``least`` hit words or more."""
-    named = docs.select(F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("h")).alias("id"), F.col(text).alias("t"))
+    """``docs`` without the documents that hold ``least`` hit words or more.
+
+    A document is known by its key, null or not, and 128 bits of its text; repeated
+    rows stay or go together. Null and empty texts stay; other columns, of any
+    names, are kept; an empty table stays empty.
+    """
+    named = docs.select(F.struct(docs[key].alias("k"), *text_id(docs[text])).alias("id"), docs[text].alias("t"))
     found = decontaminate(named, benchmark, "id", "t", **options).filter(F.col("n_hit") >= least)
-    bad = settle(found.select(F.col("id.k").alias("_key"), F.col("id.h").alias("_hash")).distinct())
-    return docs.join(bad, F.col("_key").eqNullSafe(docs[key]) & (F.col("_hash") == F.xxhash64(docs[text])), "left_anti")
+    bad = settle(found.select("id.k", "id.h1", "id.h2").distinct())
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[key].alias("k"), *text_id(docs[text]))
+    same = packed["k"].eqNullSafe(bad["k"]) & (packed["h1"] == bad["h1"]) & (packed["h2"] == bad["h2"])
+    return packed.join(bad, same, "left_anti").select("row.*")

@@ -173,12 +173,13 @@ def near_duplicates(docs, key="doc_id", text="text", bucket=BUCKET):
 
 def one_row_each(docs, kept, key="doc_id", text="text"):
     """The rows of ``docs`` that ``kept`` names by ``_key, _hash``, one for each; ``_rows`` is how many there are."""
-    mine = F.col("_key").eqNullSafe(docs[key]) & (F.col("_hash") == F.xxhash64(docs[text]))
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[key].alias("k"), F.xxhash64(docs[text]).alias("h"))
+    mine = (F.col("_key").eqNullSafe(F.col("k"))) & (F.col("_hash") == F.col("h"))
     again = settle(kept.filter("_rows > 1").drop("_rows"))
     if again.isEmpty():
-        return docs.join(kept, mine, "left_semi")
-    once = docs.join(kept.filter("_rows = 1"), mine, "left_semi")
-    return once.unionByName(docs.join(again, mine, "left_semi").dropDuplicates([key, text]))
+        return packed.join(kept, mine, "left_semi").select("row.*")
+    once = packed.join(kept.filter("_rows = 1"), mine, "left_semi")
+    return once.unionByName(packed.join(again, mine, "left_semi").dropDuplicates(["k", "h"])).select("row.*")
 
 
 def keep_one(docs, key="doc_id", text="text"):
