@@ -29,8 +29,17 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text):
-    """Runs of letters, lower-cased."""
-    return _WORD.findall(text.lower())
+    """Runs of letters, lower-cased; other characters that count as numbers are none."""
+    found = _WORD.findall(text.lower())
+    if text.isascii():
+        return found
+    out = []
+    for word in found:
+        if word.isalpha():
+            out.append(word)
+        else:
+            out.extend("".join(c if c.isalpha() else " " for c in word).split())
+    return out
 
 
 def _mixed(hashes, codes):
