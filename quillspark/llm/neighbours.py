@@ -37,7 +37,7 @@ def exact(vectors, query):
     return total
 
 
-def search_block(queries, query_ids, ids, codes, norm, correction, vectors, k=K):
+def search_block(queries, query_rows, rows, ids, codes, norm, correction, vectors, k=K):
     """For each query the ``k`` nearest of a block: (positions, scores), nearest first.
 
     The estimate of an inner product needs the packed bits and two scalars only.
@@ -55,8 +55,8 @@ def search_block(queries, query_ids, ids, codes, norm, correction, vectors, k=K)
     for begin in range(0, len(queries), lot):
         some = queries[begin : begin + lot]
         estimates = ((some @ turn.T).astype(np.float32) @ signs.T) * scale
-        for query, query_id, estimate in zip(some, query_ids[begin : begin + lot], estimates):
-            own = np.flatnonzero(ids == query_id)
+        for query, row, estimate in zip(some, query_rows[begin : begin + lot], estimates):
+            own = np.flatnonzero(rows == row)
             estimate[own] = -np.inf
             length = float(np.linalg.norm(query))
             slack = SLACK * length * largest
@@ -83,9 +83,9 @@ def nearest(vectors, is_query, key="vec_id", column="embedding", k=K, block=BLOC
     ``is_query`` is a condition on the table's columns. Nearness is the inner
     product, ties go to the smaller key. Null keys, null or zero vectors and
     vectors with null or non-finite components take no part; a vector meets those
-    of its own length only. Rows that share the query's key are not candidates;
-    a repeated query row gets a list of its own; repeated candidates are listed
-    as often. Every pair of a query block and a candidate block is one cell of
+    of its own length only. A query's own row is no candidate, other rows of its key
+    are; a repeated query row gets a list of its own; repeated candidates are
+    listed as often. Every pair of a query block and a candidate block is one cell of
     bounded size, so equal vectors are spread like any others.
     """
     v = F.col(column).cast("array<double>")
@@ -124,7 +124,7 @@ def nearest(vectors, is_query, key="vec_id", column="embedding", k=K, block=BLOC
             codes = np.frombuffer(b"".join(cs["code"]), np.uint8).reshape(len(cs), -1)
             matrix = np.frombuffer(b"".join(cs["v"]), "<f8").reshape(-1, dim)
             queries = np.array([np.asarray(x, float) for x in qs["v"]])
-            for near, score in search_block(queries, qs["id"].to_numpy(), ids, codes, cs["norm"].to_numpy(), cs["fit"].to_numpy(), matrix, k):
+            for near, score in search_block(queries, qs["row"].to_numpy(np.int64), cs["row"].to_numpy(np.int64), ids, codes, cs["norm"].to_numpy(), cs["fit"].to_numpy(), matrix, k):
                 ends.append(len(near))
                 at.append(near)
                 scores.append(score)
