@@ -1,12 +1,15 @@
 """Times the headline queries; prints one JSON line.
 
 Each query is built and run in full into a sink that keeps nothing. One run per
-query warms up; the median of the timed runs counts.
+query warms up; the median of the timed runs counts. The tables are written once as
+``FILES`` files each before that, untimed: a table of one file with one row group is
+one task, whatever the number of cores.
 """
 
 import json
 import os
 import statistics
+import tempfile
 import time
 
 from quillspark.catalog.queries import QUERIES
@@ -14,6 +17,8 @@ from quillspark.session import local_session
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
+FILES = 16
+TABLES = ["conversations", "documents", "events", "labels", "orders", "pages"]
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 
 HEADLINE = [
@@ -36,21 +41,38 @@ HEADLINE = [
     "match_requests",
     "missing_files",
     "run_batch",
+    "html_structure",
+    "scan_csv",
+    "fallback_plugin",
+    "guarded_plugin",
+    "convert_request_pages",
+    "assemble_requested_parts",
+    "rerun_batch",
+    "write_markdown",
+    "register_converter",
 ]
 
 
-def timed(spark, query):
+def spread(spark):
+    """The tables as many files, in a folder of their own."""
+    folder = tempfile.mkdtemp(prefix="bench-", dir="/tmp")
+    for name in TABLES:
+        spark.read.parquet(f"{SF_DIR}/{name}.parquet").repartition(FILES).write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+def timed(spark, query, folder):
     start = time.perf_counter()
-    query(spark, SF_DIR).write.format("noop").mode("overwrite").save()
+    query(spark, folder).write.format("noop").mode("overwrite").save()
     return time.perf_counter() - start
 
 
 def main():
     spark = local_session(CPUS, name="bench")
-    seconds = {}
+    seconds, folder = {}, spread(spark)
     for name in HEADLINE:
-        timed(spark, QUERIES[name])
-        seconds[name] = round(statistics.median(timed(spark, QUERIES[name]) for _ in range(RUNS)), 3)
+        timed(spark, QUERIES[name], folder)
+        seconds[name] = round(statistics.median(timed(spark, QUERIES[name], folder) for _ in range(RUNS)), 3)
     print(
         json.dumps(
             {
