@@ -1,5 +1,7 @@
 """Token counts by dynamic programming over a trie of pre-tokens."""
 
+from collections import deque
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -8,6 +10,8 @@ from .pieces import Vocabulary
 
 # Trie nodes a worker keeps; a full trie is emptied and grown anew.
 NODES = 1_500_000
+# A longer pre-token shares hardly any prefix with another one; it gets no nodes.
+LONG = 1024
 
 
 class CountTrie:
@@ -17,7 +21,9 @@ class CountTrie:
     node n and ``count[n]`` its number of tokens. They depend on the prefix alone,
     so they are worked out once however many pre-tokens share it. Of equal scores
     the one with the longest last piece counts. ``terminal`` has the counts of
-    whole pre-tokens.
+    whole pre-tokens. One of more than ``LONG`` characters goes through the same
+    recurrence with the scores of the last few positions alone, so its memory does
+    not grow with it, and is not kept.
     """
 
     def __init__(self, vocabulary, nodes=NODES):
@@ -25,7 +31,25 @@ class CountTrie:
         self.clear()
 
     def clear(self):
-        self.child, self.best, self.count, self.terminal = {}, [0.0], [0], {}
+        self.prune()
+        self.terminal = {}
+
+    def prune(self):
+        """Drop the nodes; counts of whole pre-tokens stay."""
+        self.child, self.best, self.count = {}, [0.0], [0]
+
+    def rolled(self, word):
+        """Tokens of a word from the scores of the last ``longest`` positions."""
+        scores, longest, unknown = self.vocabulary.scores, self.vocabulary.longest, self.vocabulary.unknown
+        past = deque([(0.0, 0)], longest)
+        for end, c in enumerate(word, 1):
+            value, tokens = past[-1][0] + unknown, past[-1][1] + len(c.encode("utf-8", "replace"))
+            for begin, (before, spent) in enumerate(past, end - len(past)):
+                score = scores.get(word[begin:end])
+                if score is not None and before + score > value:
+                    value, tokens = before + score, spent + 1
+            past.append((value, tokens))
+        return past[-1][1]
 
     def insert(self, word):
         scores, longest, unknown = self.vocabulary.scores, self.vocabulary.longest, self.vocabulary.unknown
@@ -55,16 +79,24 @@ class CountTrie:
             if len(self.best) > self.nodes:
                 self.clear()
                 new = set(words)
-            for word in new:
+            long = [w for w in new if len(w) > LONG]
+            for word in long:
+                self.terminal[word] = self.rolled(word)
+            for word in new.difference(long) if long else new:
+                if len(self.best) > self.nodes:
+                    self.prune()
                 self.insert(word)
-            yield len(words), sum(map(self.terminal.__getitem__, words))
+            found = len(words), sum(map(self.terminal.__getitem__, words))
+            for word in long:
+                del self.terminal[word]
+            yield found
 
 
 def count_tokens(docs, pieces, key="doc_id", text="text"):
     """``key, n_chars, n_pretokens, n_tokens`` of every row, from its whole text.
 
     Tries grow in the tasks, each under its own bound, so no text and no
-    pre-token is moved. Null and empty texts have no tokens; repeated rows stay;
+    pre-token is moved; a pre-token of any length is counted whole. Null and empty texts have no tokens; repeated rows stay;
     an empty table gives no rows; other columns are not read.
     """
     schema = T.StructType([T.StructField("k", docs.schema[key].dataType), *[T.StructField(n, T.LongType()) for n in ("n_chars", "n_pretokens", "n_tokens")]])
