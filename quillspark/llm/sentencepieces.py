@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from .common import lots, texts_of
 from .pieces import Vocabulary
 
 CACHE = 400_000  # parts of text whose ids a worker remembers
+LONG = 1024  # a longer part is not remembered
+CHUNK = 1 << 16  # ids decoded at a time
 
 
 class PieceCoder:
@@ -26,33 +29,38 @@ class PieceCoder:
 
         self.vocabulary, self.known = vocabulary, {}
         self.automaton = ahocorasick.Automaton()
+        self.length, self.score = {}, {}
         for piece, score in vocabulary.scores.items():
-            self.automaton.add_word(piece, (len(piece), score, vocabulary.ids[piece]))
+            number = vocabulary.ids[piece]
+            self.length[number], self.score[number] = len(piece), score
+            self.automaton.add_word(piece, number)
         self.automaton.make_automaton()
 
     def _segment(self, part):
-        size, unknown = len(part), self.vocabulary.unknown
-        best, back = [0.0] * (size + 1), [None] * (size + 1)
-        ends = {}
-        if len(self.automaton):
-            for end, piece in self.automaton.iter(part):
-                ends.setdefault(end + 1, []).append(piece)
-        for end in range(1, size + 1):
-            value, chosen = best[end - 1] + unknown, None
-            for piece in sorted(ends.get(end, ()), reverse=True):
-                score = best[end - piece[0]] + piece[1]
-                if score > value:
-                    value, chosen = score, piece
-            best[end], back[end] = value, chosen
-        ids, end = [], size
+        """Ids of a part. Beyond the part itself, a position takes 16 bytes if the part is long."""
+        size, unknown, length = len(part), self.vocabulary.unknown, self.length
+        long = size > LONG
+        best = array("d", bytes(8 * size + 8)) if long else [0.0] * (size + 1)
+        back = array("i", bytes(4 * size + 4)) if long else [0] * (size + 1)
+        done = 0
+        # Matches come by their ends, and of one end the longest first.
+        for last, number in self.automaton.iter(part) if length else ():
+            while done <= last:
+                best[done + 1] = best[done] + unknown
+                done += 1
+            score = best[done - length[number]] + self.score[number]
+            if score > best[done]:
+                best[done], back[done] = score, number + 1
+        ids, end = array("i") if long else [], size
         while end:
-            if back[end]:
-                ids.append(back[end][2])
-                end -= back[end][0]
+            if end <= done and back[end]:
+                ids.append(back[end] - 1)
+                end -= length[back[end] - 1]
             else:
-                ids.extend(self.vocabulary.bytes[b] for b in reversed(part[end - 1].encode("utf-8", "replace")))
+                ids.extend([self.vocabulary.bytes[b] for b in reversed(part[end - 1].encode("utf-8", "replace"))])
                 end -= 1
-        return ids[::-1]
+        ids.reverse()
+        return ids
 
     def encode(self, texts):
         """Ids of each text as a 32-bit array; an empty text has none."""
@@ -64,11 +72,16 @@ class PieceCoder:
                 new = set(words)
             for word in new:
                 self.known[word] = np.array(self._segment(word), "<u4").tobytes()
-            yield np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
+            found = np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
+            for word in new:
+                if len(word) > LONG:
+                    del self.known[word]
+            yield found
 
     def decode(self, ids):
         """The text of some ids; the space set in front of it is taken off."""
-        raw = b"".join(map(self.vocabulary.text.__getitem__, ids.tolist()))
+        lots_of_ids = (ids[s : s + CHUNK].tolist() for s in range(0, len(ids), CHUNK))
+        raw = b"".join([b"".join(map(self.vocabulary.text.__getitem__, x)) for x in lots_of_ids])
         return raw.decode("utf-8", "replace")[1:]
 
 
@@ -83,7 +96,7 @@ def encode_pieces(docs, pieces, key="doc_id", text="text", compare=False):
 
     Null and empty texts have no ids. Line breaks and characters that are no
     piece, the space sign U+2581 among them, are spelled in byte pieces, so
-    decoding gives every text back. Repeated rows stay; an empty table gives no
+    decoding gives every text back. A word of any length is coded whole. Repeated rows stay; an empty table gives no
     rows; other columns are not read and no text is moved.
     """
     schema = T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("same", T.BooleanType())] * compare)

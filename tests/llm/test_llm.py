@@ -2,7 +2,10 @@
 
 import hashlib
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -300,6 +303,43 @@ def test_small_trie_counts_the_same(vocabulary):
     assert list(counts.CountTrie(v, nodes=10).counts(texts)) == list(counts.CountTrie(v).counts(texts))
 
 
+def test_long_words_count_as_short_ones(vocabulary, monkeypatch):
+    v = pieces.Vocabulary(vocabulary)
+    texts = [text(50) + "x€" * 40 + text(3).replace(" ", "") + "\ud83d\ude00", "\u2581" * 30, "a" * 200]
+    texts = [t.encode("utf-8", "replace").decode() for t in texts]
+    trie, coder = list(counts.CountTrie(v).counts(texts)), [x.tolist() for x in sentencepieces.PieceCoder(v).encode(texts)]
+    assert [n for _, n in trie] == [plain_best(t, v)[1] for t in texts] == list(map(len, coder))
+    monkeypatch.setattr(counts, "LONG", 3)
+    monkeypatch.setattr(sentencepieces, "LONG", 3)
+    monkeypatch.setattr(sentencepieces, "CHUNK", 7)
+    rolled, long = counts.CountTrie(v), sentencepieces.PieceCoder(v)
+    assert list(rolled.counts(texts)) == trie
+    assert max(map(len, rolled.terminal)) <= 3
+    again = list(long.encode(texts))
+    assert [x.tolist() for x in again] == coder and [long.decode(x) for x in again] == texts
+    assert max(map(len, long.known)) <= 3
+
+
+def test_one_word_of_many_letters_takes_little_memory():
+    """2 MB without a space, in a process of its own whose memory is measured."""
+    code = f"""
+import resource
+from quillspark.llm import counts, pieces, sentencepieces
+v = pieces.Vocabulary(pieces.load_pieces({tokenizer_path("piece_bpe_32k.model")!r}))
+coder = sentencepieces.PieceCoder(v)
+word = "loremipsumdolorsitamet€x7" * 80_000
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+n = next(counts.CountTrie(v).counts([word]))[1]
+ids = next(coder.encode([word]))
+same = coder.decode(ids) == word
+print(n, len(ids), same, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).parents[2])
+    assert done.returncode == 0, done.stderr
+    first, second, same, grown = done.stdout.split()
+    assert first == second and same == "True" and int(grown) < 120
+
+
 # 6 toxicity
 
 
