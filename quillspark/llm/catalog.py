@@ -43,8 +43,8 @@ def op8_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held_out = fold("doc_id", 4) == 2
     model = language.train_language(docs, learn=~held_out)
-    found = language.identify_language(docs, model)
-    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    found = language.language_spans(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
 def op9_decontaminate(spark, sf_dir):

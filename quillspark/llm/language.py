@@ -10,9 +10,11 @@ from pyspark.sql import types as T
 from ..session import settle
 from .common import lots, texts_of
 
-# Documents of each language, and from each of them segments and words, that the fit uses at most.
+# The fit uses about this many documents of each language, chosen by a hash of their keys, ...
 DOCS_PER_LANGUAGE = 400
-SEGMENTS = 4
+# ... and of all segments that their whole texts are cut into about so many, likewise by a hash:
+SEGMENTS = 2000  # of a language
+ALL_SEGMENTS = 100_000  # of all languages, in equal shares
 SEGMENT_WORDS = 12
 SEQUENCE = 4  # segments joined to one training sequence
 LANGUAGES = 512  # more languages than this are refused
@@ -28,18 +30,24 @@ AFFIX = 4  # letters of the longest prefix and suffix
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def _read(text):
+    """The text in lower case, as long as before, and its runs of letters.
+
+    Other characters that count as numbers are no letters; where there are any in
+    a run, they are blanks in the text that comes back.
+    """
+    # The only letter whose lower case is longer.
+    low = text.replace("\u0130", "i").lower()
+    found = _WORD.findall(low)
+    if not (low.isascii() or all(map(str.isalpha, found))):
+        low = "".join([c if c.isalpha() else " " for c in low])
+        found = _WORD.findall(low)
+    return low, found
+
+
 def words_of(text):
     """Runs of letters, lower-cased; other characters that count as numbers are none."""
-    found = _WORD.findall(text.lower())
-    if text.isascii():
-        return found
-    out = []
-    for word in found:
-        if word.isalpha():
-            out.append(word)
-        else:
-            out.extend("".join(c if c.isalpha() else " " for c in word).split())
-    return out
+    return _read(text)[1]
 
 
 def _mixed(hashes, codes):
@@ -240,40 +248,63 @@ class ChainModel:
         return out
 
     def label(self, texts):
-        """(language, score) of each text: the largest mean posterior of its words."""
-        bags = [words_of(t) if t else [] for t in texts]
+        """``(language, score, spans)`` of each text.
+
+        A word has the label of its largest posterior, and neighbours of one label
+        make a span ``(label, begin, end, score)``: characters of the text from its
+        first word to behind its last, and the mean posterior. The language is the
+        label of the largest mean posterior of all words.
+        """
+        read = [_read(t or "") for t in texts]
+        if not self.labels:
+            return [("und", 0.0, [])] * len(texts)
         found = []
-        for post in self.posteriors(bags) if self.labels else [np.empty((0, 0))] * len(bags):
+        for (low, words), post in zip(read, self.posteriors([w for _, w in read])):
             if not len(post):
-                found.append(("und", 0.0))
-            else:
-                mean = post.mean(0)
-                best = int(mean.argmax())
-                found.append((self.labels[best], float(min(mean[best], 1.0))))
+                found.append(("und", 0.0, []))
+                continue
+            tags = post.argmax(1)
+            first = np.flatnonzero(np.diff(tags, prepend=-1))
+            size = np.diff(first, append=len(tags))
+            means = np.add.reduceat(post.max(1), first) / size
+            at = np.fromiter((m.start() for m in _WORD.finditer(low)), np.int64, len(words))
+            last = (first + size - 1).tolist()
+            spans = [
+                (self.labels[tags[i]], int(at[i]), int(at[j]) + len(words[j]), min(float(x), 1.0))
+                for i, j, x in zip(first.tolist(), last, means)
+            ]
+            mean = post.mean(0)
+            best = int(mean.argmax())
+            found.append((self.labels[best], float(min(mean[best], 1.0)), spans))
         return found
 
 
-def train_language(docs, learn=None, key="doc_id", text="text", lang="lang", per_language=DOCS_PER_LANGUAGE):
-    """Fit on segments of at most ``per_language`` documents of each language.
+def _share(number, total, *columns):
+    """Whether a row is among about ``number`` of ``total`` rows, by a hash of the columns alone."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 32)) < F.lit(float(1 << 32)) * number / total
+
 
-    Training sequences join segments of several documents, so the chain sees
-    switches of language; transitions are learned from them. Rows with null key,
-    language or text, or without a letter, teach nothing. With no such row every
-    prediction is ``und``.
+def train_language(docs, learn=None, key="doc_id", text="text", lang="lang", per_language=DOCS_PER_LANGUAGE):
+    """Fit on segments of about ``per_language`` documents of each language.
+
+    The whole texts of these documents are cut into segments, the last one of each
+    reaching back over its full length, and of all of a language about ``SEGMENTS``
+    are learned from, wherever in a text they are. Training sequences join segments
+    of several documents, so the chain sees switches of language; transitions are
+    learned from them. Rows with null key, language or text, or without a letter,
+    teach nothing; of rows with one key and language the smallest text does. With no
+    such row every prediction is ``und``.
     """
-    spark = docs.sparkSession
     known = docs.filter((F.lit(True) if learn is None else learn) & F.col(key).isNotNull() & F.col(lang).isNotNull())
-    names = sorted(r[0] for r in known.select(lang).distinct().limit(LANGUAGES + 1).collect())
-    if len(names) > LANGUAGES:
+    known = known.select(F.col(key).alias("_k"), F.col(lang).alias("_l"), F.col(text).cast("binary").alias("b"))
+    sizes = settle(known.groupBy("_l").agg(F.approx_count_distinct("_k").alias("n")).limit(LANGUAGES + 1))
+    languages = sizes.count()
+    if languages > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
-    if not names:
+    if not languages:
         return ChainModel([], {})
-    ranked = [known.filter(F.col(lang) == x).select(F.col(key).alias("_k"), F.col(lang).alias("_l")).distinct().orderBy(F.xxhash64("_k"), "_k").limit(per_language) for x in names]
-    wanted = ranked[0]
-    for more in ranked[1:]:
-        wanted = wanted.unionByName(more)
-    wanted = settle(wanted)
-    texts = docs.select(F.col(key).alias("_k"), F.col(lang).alias("_l"), F.col(text).cast("binary").alias("b")).join(F.broadcast(wanted), ["_k", "_l"]).select("_k", "_l", "b")
+    chosen = known.join(F.broadcast(sizes), "_l").filter(_share(per_language, F.col("n"), "_k"))
+    texts = chosen.groupBy("_k", "_l").agg(F.min("b").alias("b"))
 
     def cut(batches):
         import pyarrow as pa
@@ -282,15 +313,16 @@ def train_language(docs, learn=None, key="doc_id", text="text", lang="lang", per
             out = []
             for k, label, t in zip(lot.column(0).to_pylist(), lot.column(1).to_pylist(), texts_of(lot.column(2))):
                 words = words_of(t or "")
-                step = max(SEGMENT_WORDS, len(words) // SEGMENTS)
-                for s in range(0, max(len(words), 1), step)[:SEGMENTS]:
-                    part = words[s : s + SEGMENT_WORDS]
-                    if part:
-                        out.append((zlib.crc32(f"{k} {s}".encode()), label, (part * SEGMENT_WORDS)[:SEGMENT_WORDS]))
+                for s in range(0, len(words), SEGMENT_WORDS):
+                    part = words[max(0, min(s, len(words) - SEGMENT_WORDS)) :][:SEGMENT_WORDS]
+                    out.append((zlib.crc32(f"{k} {s}".encode()), label, (part * SEGMENT_WORDS)[:SEGMENT_WORDS]))
             cols = list(zip(*out)) if out else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.list_(pa.string())))], ["order", "lang", "words"])
 
-    rows = texts.mapInArrow(cut, "order long, lang string, words array<string>").collect()
+    segments = settle(texts.mapInArrow(cut, "order long, lang string, words array<string>"))
+    most = min(SEGMENTS, ALL_SEGMENTS // languages)
+    counted = F.broadcast(segments.groupBy("lang").agg(F.count("*").alias("n")))
+    rows = segments.join(counted, "lang").filter(_share(most, F.col("n"), "order", "words")).select("order", "lang", "words").collect()
     rows.sort(key=lambda r: (r["order"], r["lang"], r["words"]))
     labels = sorted({r["lang"] for r in rows})
     number = {x: i for i, x in enumerate(labels)}
@@ -302,7 +334,8 @@ def train_language(docs, learn=None, key="doc_id", text="text", lang="lang", per
     lexicon = {w: sorted(x for x, n in c.items() if n >= LEXICON_TIMES) for w, c in counts.items()}
     lexicon = {w: x for w, x in lexicon.items() if x}
     model = ChainModel(labels, lexicon)
-    joined = [[(w, number[r["lang"]]) for r in rows[s : s + SEQUENCE] for w in r["words"]] for s in range(0, len(rows) - SEQUENCE + 1, SEQUENCE)]
+    whole = rows + (rows * SEQUENCE)[: -len(rows) % SEQUENCE]
+    joined = [[(w, number[r["lang"]]) for r in whole[s : s + SEQUENCE] for w in r["words"]] for s in range(0, len(whole), SEQUENCE)]
     # Two neighbours of each sequence share a language more often than chance
     # would have it in text, so each segment also stands in a sequence of its own.
     alone = [[(w, number[r["lang"]]) for w in r["words"] * SEQUENCE] for r in rows[:: SEQUENCE]]
@@ -311,22 +344,35 @@ def train_language(docs, learn=None, key="doc_id", text="text", lang="lang", per
     return model
 
 
-def identify_language(docs, model, key="doc_id", text="text"):
-    """``key, lang_pred, score`` of every row, from its whole text and nothing else.
+def language_spans(docs, model, key="doc_id", text="text"):
+    """``key, lang_pred, score, spans`` of every row, from its whole text and nothing else.
 
-    Every word gets posteriors by forward-backward over the whole text; the
-    document takes the language of the largest mean. Null texts and texts
-    without a letter are ``und`` with score 0; repeated rows stay; an empty table
-    gives no rows; other columns are not read.
+    Every word gets posteriors by forward-backward over the whole text. ``spans``
+    holds ``lang, begin, end, score`` for each run of words of one language in the
+    order of the text, ``begin`` and ``end`` counted in characters from 0. The
+    document takes the language of the largest mean posterior. Null texts and texts
+    without a letter are ``und`` with score 0 and no span; repeated rows stay; an
+    empty table gives no rows; other columns are not read.
     """
-    schema = T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    span = T.StructType([T.StructField("lang", T.StringType()), T.StructField("begin", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batches):
         import pyarrow as pa
 
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.float64()]
         for lot in lots(batches):
             found = shared.value.label(texts_of(lot.column(1)))
-            yield pa.RecordBatch.from_arrays([lot.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["k", "lang_pred", "score"])
+            flat = list(zip(*[x for _, _, spans in found for x in spans])) or [[]] * 4
+            parts = pa.StructArray.from_arrays([pa.array(list(c), t) for c, t in zip(flat, kinds)], ["lang", "begin", "end", "score"])
+            ends = np.cumsum([0] + [len(spans) for _, _, spans in found])
+            spans = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts)
+            yield pa.RecordBatch.from_arrays([lot.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), spans], schema.names)
 
     return docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("b")).mapInArrow(each, schema).withColumnRenamed("k", key)
+
+
+def identify_language(docs, model, key="doc_id", text="text"):
+    """``key, lang_pred, score`` of every row, as ``language_spans`` finds them."""
+    return language_spans(docs, model, key, text).drop("spans")

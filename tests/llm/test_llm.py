@@ -454,6 +454,35 @@ def test_language_of_words_and_documents(spark, docs):
     assert {r["lang_pred"] for r in language.identify_language(docs, untaught).collect()} == {"und"}
 
 
+def test_spans_of_switched_texts_and_all_words_of_long_documents(spark):
+    rng = random.Random(5)
+    make = {"xx": ["tha", "ing", "wor"], "yy": ["zdo", "pře", "ský"]}
+    some = lambda x, n: " ".join("".join(rng.choice(make[x]) for _ in range(3)) for _ in range(n))
+    rows = [(i, some(x, 60), x) for i, x in enumerate(["xx", "yy"] * 40)]
+    # One document alone has a third language, and it says what it is far behind its first words.
+    rows += [(900, "1 " + "gug " * 200 + "mimo lomi " * 300, "zz"), (900, "1 " + "gug " * 200 + "mimo lomi " * 300, "zz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train_language(df)
+    assert model.labels == ["xx", "yy", "zz"] and {"mimo", "lomi", "gug"} <= set(model.lexicon)
+    first, second, third = some("xx", 12), some("yy", 9).upper(), "lomi mimo " * 8
+    texts = [f"-- {first}, 12½ {second}! İ²", f"{third}| {first}", None, "½ ②", "", first]
+    asked = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, lang long")
+    found = {r["doc_id"]: r for r in language.language_spans(asked, model).collect()}
+    cut = lambda i: [(s["lang"], texts[i][s["begin"] : s["end"]]) for s in found[i]["spans"]]
+    assert cut(0)[0] == ("xx", first) and cut(0)[1][0] == "yy" and cut(0)[1][1].startswith(second)
+    assert cut(1) == [("zz", third.strip()), ("xx", first)]
+    assert [found[i]["lang_pred"] for i in (2, 3, 4)] == ["und"] * 3 and not any(found[i]["spans"] for i in (2, 3, 4))
+    assert cut(5) == [("xx", first)] and abs(found[5]["score"] - found[5]["spans"][0]["score"]) < 1e-9
+    few = language.train_language(df.filter("doc_id < 2"))
+    assert few.labels == ["xx", "yy"] and few.label([second])[0][0] == "yy"
+
+
+def test_lower_case_keeps_the_places_of_words():
+    assert all(len(chr(i).lower()) == 1 for i in range(0x110000) if i != 0x130 and not 0xD800 <= i < 0xE000)
+    low, words = language._read("İZ ½x² ΑΣ b1c")
+    assert len(low) == 13 and words == ["iz", "x", "ας", "b", "c"] and low.index("x") == 4
+
+
 # 9 decontamination
 
 
