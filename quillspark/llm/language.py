@@ -1,5 +1,6 @@
 """Language of words in code-switched text by a linear-chain conditional random field."""
 
+import functools
 import re
 import zlib
 
@@ -50,6 +51,17 @@ def words_of(text):
     return _read(text)[1]
 
 
+@functools.cache
+def _letters():
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), np.int8, 0x110000)
+
+
+def _starts(low):
+    """Where the runs of letters begin, which are the words of ``_read``."""
+    letter = _letters()[np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "<u4")]
+    return np.flatnonzero(np.diff(letter, prepend=np.int8(0)) == 1)
+
+
 def _mixed(hashes, codes):
     return (hashes ^ codes) * _PRIME
 
@@ -267,7 +279,7 @@ class ChainModel:
             first = np.flatnonzero(np.diff(tags, prepend=-1))
             size = np.diff(first, append=len(tags))
             means = np.add.reduceat(post.max(1), first) / size
-            at = np.fromiter((m.start() for m in _WORD.finditer(low)), np.int64, len(words))
+            at = _starts(low)
             last = (first + size - 1).tolist()
             spans = [
                 (self.labels[tags[i]], int(at[i]), int(at[j]) + len(words[j]), min(float(x), 1.0))

@@ -481,6 +481,9 @@ def test_lower_case_keeps_the_places_of_words():
     assert all(len(chr(i).lower()) == 1 for i in range(0x110000) if i != 0x130 and not 0xD800 <= i < 0xE000)
     low, words = language._read("İZ ½x² ΑΣ b1c")
     assert len(low) == 13 and words == ["iz", "x", "ας", "b", "c"] and low.index("x") == 4
+    for t in [x for x in ODD if x] + ["½a²b①", "12", "ab_c٣d", "İZ ½x² ΑΣ b1c", "\U0001d7d8a\U00010107b"]:
+        low, words = language._read(t)
+        assert [low[s : s + len(w)] for s, w in zip(language._starts(low), words)] == words and len(language._starts(low)) == len(words)
 
 
 # 9 decontamination
