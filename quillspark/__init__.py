@@ -27,5 +27,6 @@ from .plans.requests import assemble_requested, convert_requests
 from .plans.sink import export_files, run_batch, saved_markdown, write_markdown
 from .sources.csv_blocks import scan_csv
 from .sources.files import filter_supported, scan_folder
+from .sources.listing import list_folder
 from .sources.requests import complete_requests, scan_requests
 from .streaming.inbox import inbox_results, stream_documents, stream_inbox

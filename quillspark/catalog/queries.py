@@ -18,6 +18,7 @@ from ..plans.sink import run_batch, saved_markdown, write_markdown
 from ..session import new_shared_path
 from ..sources.csv_blocks import scan_csv
 from ..sources.files import filter_supported, scan_folder
+from ..sources.listing import list_folder
 from ..sources.requests import scan_requests
 from ..streaming.inbox import inbox_results, stream_documents, stream_inbox
 from . import inputs
@@ -381,4 +382,16 @@ def q_rerun_batch(spark, sf_dir):
     return saved_markdown(spark, location)
 
 
+def q_list_folder(spark, sf_dir):
+    """Pages as files of one folder and the empty mark of their write, as a manifest."""
+    location = new_shared_path(spark)
+    pages = inputs.table(spark, sf_dir, "pages")
+    inputs.write_page_files(pages, f"{location}/pages")
+    listed = list_folder(spark, f"{location}/pages", exts=[".txt"], content=True)
+    # Names are the writer's own, and so are its hidden files.
+    digest = F.when(F.col("status") == "FOUND", F.sha2("content", 256))
+    kept = listed.filter(~F.startswith(F.col("name"), F.lit(".")))
+    return kept.select("length", "status", "reason", digest.alias("digest"))
+
+
 QUERIES = {name[2:]: query for name, query in list(globals().items()) if name.startswith("q_")}
