@@ -12,6 +12,14 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows, most=10_000):
+    """Rows that cost far more to convert than to move, dealt out to tasks of ``most`` at any size.
+
+    A file's row group is one task, whatever the number of cores.
+    """
+    return rows.repartition(max(1, -(-rows.count() // most)))
+
+
 def pages(spark, sf_dir):
     """Web pages as files: ``file`` is the URL, ``name`` its path."""
     df = table(spark, sf_dir, "pages")
@@ -117,7 +125,8 @@ def order_pages(spark, sf_dir):
         F.lit("</b></ul><li><p>last</p></ol><pre>\n  a = "), key, F.lit("\n\n  <i>b</i>\n</pre><blockquote>"), priority, F.lit("<br>by <a href='/c/"), who,
         F.lit("'><b>buyer</b> "), who, F.lit('</a></blockquote><img alt="seal" src=/s.png> &#x20AC;</body></html>'),
     )
-    return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    return dealt(orders).select("o_orderkey", text.alias("text"))
 
 
 def write_csv_files(spark, sf_dir, location):

@@ -16,6 +16,7 @@ def bind(value: Column, use) -> Column:
     """``use(value)`` with the value computed once per row.
 
     Inside a lambda an expression is evaluated anew for every element; a bound
-    value is a variable there, which keeps nested lambdas linear.
+    value is a variable there, which keeps nested lambdas linear. It is the start
+    of an aggregate over nothing, as elements of a transform are copied whole.
     """
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    return F.aggregate(F.array().cast("array<int>"), value, lambda start, _: start, use)

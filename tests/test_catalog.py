@@ -4,10 +4,13 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from quillspark.catalog import inputs
 from quillspark.catalog.oracles import ORACLES
 from quillspark.catalog.queries import QUERIES
+from quillspark.functions import html
 
 
 @pytest.fixture(scope="module")
@@ -44,3 +47,15 @@ def test_query_equals_its_oracle(spark, sf_dir, duck, name):
 def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.count() > 0 and "markdown" in df.columns
+
+
+def test_orders_of_one_row_group_are_dealt_to_tasks(spark, folder):
+    rows = spark.range(25_000).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey", "'O' AS o_orderstatus", "'1-URGENT' AS o_orderpriority")
+    rows.coalesce(1).write.parquet(f"{folder}/orders.parquet")
+    pages = inputs.order_pages(spark, folder)
+    assert pages.rdd.getNumPartitions() == 3
+    assert pages.select("o_orderkey").distinct().count() == pages.count() == 25_000
+    markdown = html.html_to_markdown(F.col("text"))["markdown"]
+    told = pages.filter("o_orderkey in (0, 24999)").select(markdown.alias("m")).collect()
+    assert all(r["m"].startswith("## Order ") and r["m"].endswith("![seal](/s.png) €") for r in told) and len(told) == 2
+    assert inputs.order_pages(spark, folder).filter("o_orderkey < 0").count() == 0
