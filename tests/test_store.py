@@ -2,6 +2,7 @@
 
 import os
 
+from quillspark.catalog.queries import QUERIES
 from quillspark.plans.sink import run_batch, saved_markdown
 from quillspark.streaming.inbox import inbox_results, stream_inbox
 
@@ -78,3 +79,15 @@ def test_micro_batches_of_bounded_size(spark, folder):
     stream_inbox(spark, inbox, out, state, max_files=2).awaitTermination()
     rows = inbox_results(spark, out).groupBy("batch_id").count().collect()
     assert sum(r["count"] for r in rows) == 5 and len(rows) >= 3 and max(r["count"] for r in rows) <= 2
+
+
+def test_the_inbox_query_keeps_addresses_and_paths(spark, folder):
+    rows = [(0, "http://a/x.html", "<p>0</p>"), (1, "http://b/x.html", "<p>1</p>"), (2, "http://c/x.html", "<p>2</p>"), (3, "http://a/y.html", "<p>3</p>")]
+    rows += [(4, "http://d/z.html", "<p>4</p>"), (5, "http://d/z.html", "<p>5</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    got = {(r["file"], r["markdown"], r["output_path"], r["n_same_path"], r["survives"]) for r in QUERIES["stream_inbox"](spark, folder).collect()}
+    x, y, z = (f"/out/{n}/{n}.md" for n in "xyz")
+    assert got == {
+        ("http://a/x.html", "0", x, 3, False), ("http://b/x.html", "1", x, 3, True), ("http://c/x.html", "2", x, 3, False),
+        ("http://a/y.html", "3", y, 1, True), ("http://d/z.html", "5", z, 1, True),
+    }
