@@ -2,6 +2,7 @@
 
 import os
 
+from quillspark.catalog import inputs
 from quillspark.catalog.queries import QUERIES
 from quillspark.plans.sink import run_batch, saved_markdown
 from quillspark.streaming.inbox import inbox_results, stream_inbox
@@ -91,3 +92,10 @@ def test_the_inbox_query_keeps_addresses_and_paths(spark, folder):
         ("http://a/x.html", "0", x, 3, False), ("http://b/x.html", "1", x, 3, True), ("http://c/x.html", "2", x, 3, False),
         ("http://a/y.html", "3", y, 1, True), ("http://d/z.html", "5", z, 1, True),
     }
+
+
+def test_page_files_are_written_by_several_tasks(spark, folder):
+    rows = spark.range(450).selectExpr("id AS page_id", "concat('http://a/', id) AS url", "concat('<p>', id) AS html").coalesce(1)
+    inputs.write_saved_pages(rows, f"{folder}/inbox")
+    names = [n for n in os.listdir(f"{folder}/inbox") if n.startswith("part-")]
+    assert len(names) == 450 and len({n.split("-")[1] for n in names}) == 3
