@@ -1,4 +1,8 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands, then verified texts."""
+"""Near copies by the Jaccard similarity of word shingles.
+
+Fingerprints and the tables of their distances to pivots find the nearest texts,
+MinHash bands those that differ by more bits; texts found either way are verified.
+"""
 
 import numpy as np
 import xxhash
@@ -7,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..session import settle
 from .common import broadcast_if_small, lots, one_row_each, text_id
-from .simhash import connected
+from .simhash import connected, fingerprint, links
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -51,17 +55,19 @@ def similarity(a, b):
 
 
 def signatures(docs, key="doc_id", text="text"):
-    """``k, h1, h2, size, bands`` for every row: 128 bits of the text, number of shingles, band keys."""
-    fields = [("k", docs.schema[key].dataType), ("h1", T.LongType()), ("h2", T.LongType()), ("size", T.LongType()), ("bands", T.ArrayType(T.LongType()))]
+    """``k, h1, h2, size, bands, fp`` for every row: 128 bits of the text, number of shingles, band keys, fingerprint."""
+    fields = [("k", docs.schema[key].dataType), ("h1", T.LongType()), ("h2", T.LongType()), ("size", T.LongType()), ("bands", T.ArrayType(T.LongType())), ("fp", T.LongType())]
     schema = T.StructType([T.StructField(*f) for f in fields])
 
     def each(batches):
         import pyarrow as pa
 
         for lot in lots(batches):
-            sets = [shingles_of(x) for x in lot.column(3).to_pylist()]
+            texts = lot.column(3).to_pylist()
+            sets = [shingles_of(x) for x in texts]
+            fps = pa.array([fingerprint(x) for x in texts], pa.int64())
             bands = pa.array([bands_of(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*lot.columns[:3], pa.array(map(len, sets), pa.int64()), bands], ["k", "h1", "h2", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([*lot.columns[:3], pa.array(map(len, sets), pa.int64()), bands, fps], ["k", "h1", "h2", "size", "bands", "fp"])
 
     return docs.select(F.col(key).alias("k"), *text_id(docs[text]), docs[text].cast("binary").alias("b")).mapInArrow(each, schema)
 
@@ -108,10 +114,32 @@ def joined_roots(roots, new):
     return settle(moved.select("node", F.coalesce("now", "root").alias("root")).unionByName(added))
 
 
-def components(entries, texts):
+def pivot_pairs(classes):
+    """``u, v``: texts that the pivot tables bring together and whose sizes allow the similarity.
+
+    ``classes``: ``node, fp, size``. Texts of one fingerprint are paired with the first
+    of them; the first ones of two fingerprints where ``simhash.links`` joins these.
+    """
+    heads = settle(classes.groupBy("fp").agg(F.min_by(F.struct("node", "size"), "node").alias("head"), F.count("*").alias("n")))
+    several = broadcast_if_small(heads.filter("n > 1").select("fp", "head"))
+    same = classes.join(several, "fp").filter(F.col("node") != F.col("head.node")).select(F.col("head").alias("a"), F.struct("node", "size").alias("b"))
+    end = lambda fp, name: broadcast_if_small(heads.select(F.col("fp").alias(fp), F.col("head").alias(name)))
+    near = settle(links(heads.select("fp"))).join(end("u", "a"), "u").join(end("v", "b"), "v").select("a", "b")
+    return same.unionByName(near).filter(_alike(F.col("a.size"), F.col("b.size"))).select(*_ordered(F.col("a.node"), F.col("b.node")))
+
+
+def still_mixed(entries, roots):
+    """``node, size, key, root`` of the buckets whose texts lie in several components."""
+    placed = entries.join(broadcast_if_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("key")
+    return settle(placed.join(mixed, "key", "left_semi").select("node", "size", "key", "root"))
+
+
+def components(entries, texts, roots, tested):
     """``node, root`` of all texts of the buckets that are near copies of another.
 
-    ``entries``: ``node, size, key``. A round compares the members of each bucket
+    ``entries``: ``node, size, key``; ``roots`` and ``tested``: what the pivot tables
+    joined, and the pairs ``u, v`` verified for it. A round compares the members of each bucket
     with one of them and joins what is alike, so a large group of near copies
     falls together in few rounds of as many comparisons as members. Pairs within
     one component need no comparison. If few pairs of other components are left in
@@ -120,11 +148,7 @@ def components(entries, texts):
     that share a passage but are not alike make no pairs.
     """
     total = entries.count()
-    schema = "u long, v long"
-    spark = entries.sparkSession
-    tested = spark.createDataFrame([], schema)
-    roots = spark.createDataFrame([], "node long, root long")
-    placed = entries.withColumn("root", F.col("node"))
+    placed = still_mixed(entries, roots)
     for turn in range(STARS):
         heads = placed.groupBy("key").agg(F.min_by("root", "node").alias("main"))
         other = F.col("root") != F.col("main") if turn else F.lit(True)
@@ -136,9 +160,7 @@ def components(entries, texts):
         new = settle(verified(stars, texts))
         roots = joined_roots(roots, new)
         # Buckets that fell together are done, so only the others go on.
-        placed = placed.drop("root").join(broadcast_if_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("key")
-        placed = settle(placed.join(mixed, "key", "left_semi").select("node", "size", "key", "root"))
+        placed = still_mixed(placed.drop("root"), roots)
         sizes = placed.groupBy("key", "root").count().groupBy("key").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"))
         left = sizes.agg(F.sum(F.col("n") * F.col("n") - F.col("own"))).first()[0] or 0
         if left / 2 <= PAIRS * total:
@@ -211,21 +233,27 @@ def keep_one(docs, key="doc_id", text="text"):
     """One document of each group of near copies stays: that with the smallest key.
 
     Two texts are near copies from a Jaccard similarity of 0.8 of their sets of
-    five-word shingles; groups are what such links connect. Null keys count as
+    five-word shingles; groups are what such links connect. Pairs within two bits of
+    their fingerprints come from the pivot tables of ``simhash``, as exactly as there;
+    pairs that differ by more bits, most of those near the similarity, from the bands
+    of the groups that these leave. All are verified on the whole texts. Null keys count as
     largest; texts without a word, null among them, are one group; repeated rows
     leave one row; columns may have any names; an empty table stays empty.
     """
     rows = settle(signatures(docs, key, text))
-    grouped = rows.groupBy("h1", "h2").agg(F.min("k").alias("first"), F.min("size").alias("size"), F.min("bands").alias("bands"))
+    grouped = rows.groupBy("h1", "h2").agg(F.min("k").alias("first"), F.min("size").alias("size"), F.min("bands").alias("bands"), F.min("fp").alias("fp"))
     classes = settle(grouped.withColumn("node", F.monotonically_increasing_id()))
     entries = classes.select("node", "size", F.explode("bands").alias("key"))
     shared = broadcast_if_small(entries.groupBy("key").count().filter("count > 1").select("key"))
     entries = settle(entries.join(shared, "key", "left_semi").select("node", "size", "key"))
-    wanted = broadcast_if_small(classes.join(entries.select("node").distinct(), "node", "left_semi").select("node", "first", "h1", "h2"))
+    close = settle(pivot_pairs(classes.select("node", "fp", "size")))
+    met = entries.select("node").union(close.select("u")).union(close.select("v")).distinct()
+    wanted = broadcast_if_small(classes.join(met, "node", "left_semi").select("node", "first", "h1", "h2"))
     named = docs.select(docs[key].alias("k"), *text_id(docs[text]), docs[text].cast("binary").alias("b"))
     mine = (wanted["h1"] == named["h1"]) & (wanted["h2"] == named["h2"]) & wanted["first"].eqNullSafe(named["k"])
     texts = settle(named.join(wanted, mine).select("node", "b").dropDuplicates(["node"]))
-    roots = components(entries, texts)
+    alone = docs.sparkSession.createDataFrame([], "node long, root long")
+    roots = components(entries, texts, joined_roots(alone, settle(verified(close, texts))), close)
     member = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = member.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "h1", "h2")).alias("m"))
     least = settle(least.select(F.col("m.first").alias("k"), F.col("m.h1").alias("h1"), F.col("m.h2").alias("h2")))

@@ -1,6 +1,8 @@
 import random
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate, nearcopies, simhash
@@ -44,6 +46,32 @@ def test_prefixes_lose_no_pair(spark):
     assert len(want) > 100 and want <= got and len(got) < 90 * 89 / 2
 
 
+@pytest.mark.parametrize("count", [40, 150])
+def test_pivot_tables_join_near_copies_without_bands(spark, monkeypatch, count):
+    """Buckets of few and of many fingerprints; without a shared band only pairs within two bits are left."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = family(9, 20, 5, 100) + ["", " ", None]
+    for _ in range(count):
+        copy = list(base)
+        copy[rng.randrange(400)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    data = [t and t.encode() for t in texts]
+    sets, fps = [nearcopies.shingles_of(t) for t in data], [simhash.fingerprint(t) for t in data]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if ((fps[i] ^ fps[j]) & (1 << 64) - 1).bit_count() <= 2 and nearcopies.similarity(sets[i], sets[j]) >= 0.8:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    expected = sorted(set(root))
+    assert len(set(fps)) > count / 2 and 20 < len(expected) < len(texts) - count / 2
+    own = lambda shingles: xxhash.xxh64_intdigest(b"|".join(sorted(shingles))) // 2 + np.arange(20)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(nearcopies, "bands_of", own)
+    assert sorted(r["doc_id"] for r in nearcopies.keep_one(df).collect()) == expected
+
+
 NAMES = ["_key", "_hash", "k", "h1", "h2", "node", "first", "row", "n", "id", "spans", "_row", "_spans", "size", "h", "_rows"]
 
 
