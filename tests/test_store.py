@@ -99,3 +99,29 @@ def test_page_files_are_written_by_several_tasks(spark, folder):
     inputs.write_saved_pages(rows, f"{folder}/inbox")
     names = [n for n in os.listdir(f"{folder}/inbox") if n.startswith("part-")]
     assert len(names) == 450 and len({n.split("-")[1] for n in names}) == 3
+
+
+def test_a_run_lists_and_opens_only_what_changed(spark, folder):
+    inbox, out, state = f"{folder}/inbox", f"{folder}/out", f"{folder}/state"
+    run = lambda: stream_inbox(spark, inbox, out, state).awaitTermination()
+    for i in range(300):
+        _put(inbox, f"{i}.html", b"x", 1000 + i)
+    run()
+    assert len([n for n in os.listdir(f"{state}/listings") if n.startswith("part-")]) <= 4
+    assert len([n for n in os.listdir(f"{out}/batch_id=0") if n.startswith("part-")]) <= 8
+    _put(inbox, "7.html", b"y", 5000)
+    run()
+    run()
+    assert spark.read.parquet(f"{state}/listings").count() == 301
+    assert sorted(r["batch_id"] for r in inbox_results(spark, out).collect()) == [0] * 299 + [1]
+
+
+def test_page_files_hold_their_rows_and_come_beside_others(spark, folder):
+    rows = spark.createDataFrame([("a",), ("é\n",), (None,), ("",)], "html string")
+    inputs.write_page_files(rows, f"{folder}/pages")
+    inputs.write_page_files(rows.limit(1), f"{folder}/pages")
+    names = os.listdir(f"{folder}/pages")
+    texts = [open(f"{folder}/pages/{n}", "rb").read() for n in names if n.startswith("part-")]
+    assert sorted(texts) == sorted([b"a\n", "é\n\n".encode(), b"\n", b"\n", b"a\n"])
+    # Written by the tasks themselves, no check sums beside them, and the mark of a write that ended.
+    assert [n for n in names if not n.startswith("part-") and not n.endswith("_SUCCESS.crc")] == ["_SUCCESS"]
